@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, simhash, token_codes
+from . import decontam, mixing, quality_cnn, simhash, token_codes, toxicity
 from .common import read
 
 
@@ -28,16 +28,26 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(spark, read(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op9_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_codes.round_trip(spark, read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_cnn.quality(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_benchmark_decontamination": op2_benchmark_decontamination,
         "op3_simhash_near_dedup": op3_simhash_near_dedup,
         "op4_source_mixing": op4_source_mixing,
+        "op5_toxicity": op5_toxicity,
         "op9_token_id_output": op9_token_id_output,
+        "op10_quality_classifier": op10_quality_classifier,
     }
 
 
