@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, quality_cnn, simhash, token_codes, toxicity
+from . import decontam, line_dedup, mixing, nn_descent, quality_cnn, secret_scan, simhash, token_codes, token_rollup, toxicity
 from .common import read
 
 
@@ -16,6 +16,10 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(spark, read(spark, sf_dir, "documents"))
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leak_digest(decontam.find_leaks(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
 
@@ -32,6 +36,18 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_rollup.maintained_counts(spark, read(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(spark, read(spark, sf_dir, "documents"))
+
+
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.near_duplicates(spark, read(spark, sf_dir, "embeddings"))
+
+
 def op9_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_codes.round_trip(spark, read(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -42,10 +58,14 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_secret_scan": op1_secret_scan,
         "op2_benchmark_decontamination": op2_benchmark_decontamination,
         "op3_simhash_near_dedup": op3_simhash_near_dedup,
         "op4_source_mixing": op4_source_mixing,
         "op5_toxicity": op5_toxicity,
+        "op6_token_counts": op6_token_counts,
+        "op7_line_dedup": op7_line_dedup,
+        "op8_embedding_near_dedup": op8_embedding_near_dedup,
         "op9_token_id_output": op9_token_id_output,
         "op10_quality_classifier": op10_quality_classifier,
     }
@@ -96,6 +116,21 @@ mixed AS (
 """
 OP4_SQL = "WITH " + MIX_SQL.format(docs="documents") + " SELECT * FROM mixed"
 
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, text, md5(coalesce(text, '')) AS k, string_split(text, chr(10)) AS ls FROM documents),
+w AS (
+  SELECT doc_id, k, i - 1 AS line, ls[i] || chr(10) || ls[i + 1] || chr(10) || ls[i + 2] AS win
+  FROM (SELECT doc_id, k, ls, unnest(range(1, len(ls) - 1)) AS i FROM d WHERE len(ls) >= 3)),
+o AS (SELECT *, dense_rank() OVER (PARTITION BY win ORDER BY doc_id NULLS FIRST, k, line) AS nth FROM w),
+gone AS (SELECT DISTINCT doc_id, k, unnest([line, line + 1, line + 2]) AS line FROM o WHERE nth > 1),
+l AS (SELECT doc_id, k, ls[i] AS x, i - 1 AS line FROM (SELECT DISTINCT doc_id, k, ls, unnest(range(1, len(ls) + 1)) AS i FROM d)),
+kept AS (
+  SELECT l.doc_id, l.k, string_agg(l.x, chr(10) ORDER BY l.line) FILTER (WHERE g.line IS NULL) AS t, count(g.line) AS n_removed
+  FROM l LEFT JOIN gone g ON l.doc_id IS NOT DISTINCT FROM g.doc_id AND l.k = g.k AND l.line = g.line GROUP BY l.doc_id, l.k)
+SELECT d.doc_id, CAST(coalesce(len(d.ls), 0) AS BIGINT) AS n_lines, coalesce(n_removed, 0) AS n_removed, md5(coalesce(t, '')) AS kept_md5
+FROM d LEFT JOIN kept ON d.doc_id IS NOT DISTINCT FROM kept.doc_id AND d.k = kept.k
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_benchmark_decontamination": OP2_SQL, "op4_source_mixing": OP4_SQL}
+    return {"op2_benchmark_decontamination": OP2_SQL, "op4_source_mixing": OP4_SQL, "op7_line_dedup": OP7_SQL}
