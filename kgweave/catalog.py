@@ -5,22 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-FLAGSHIP = "rule_chain2"
+from . import queries as _registry
+from .queries import episodes, graph, proofs, ranking, scoring, text  # noqa: F401  they register
 
-
-def rule_chain2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """locatedIn(C, R) :- custIn(C, N), inRegion(N, R)."""
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
-    x = c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey)
-    return x.select(F.concat(F.lit("c:"), F.col("c_custkey").cast("string")).alias("h"), F.concat(F.lit("r:"), F.col("n_regionkey").cast("string")).alias("t"))
+FLAGSHIP = "min_proof_depth"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"rule_chain2": rule_chain2}
+    return dict(_registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"rule_chain2": "SELECT 'c:' || c_custkey AS h, 'r:' || n_regionkey AS t FROM customer JOIN nation ON c_nationkey = n_nationkey"}
+    return dict(_registry.SQL)
