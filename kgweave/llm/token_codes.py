@@ -10,6 +10,7 @@ segment is one binary value of a row, so Spark's committers make the files safe
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -27,11 +28,12 @@ MAGIC, CHUNK = b"DAC1", 8
 RANK_BITS = 512
 #: A segment ends with the document that brings it to so many ids.
 SEGMENT_IDS = 1 << 18
-#: Characters of text that are encoded in one call.
-ENCODE_CHARS = 1 << 19
+#: Words whose ids a worker keeps.
+KNOWN_WORDS = 1 << 20
 END_ID = 0
 
 _ENCODERS: dict = {}
+_DOUBLE = re.compile(r"\s\s")
 
 
 def encode_levels(ids: np.ndarray) -> bytes:
@@ -111,28 +113,47 @@ def open_segment(blob: bytes) -> tuple[list[int | None], np.ndarray, Levels]:
     return [int(d) if k else None for d, k in zip(ids, known, strict=True)], np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), Levels(blob, 12 + 17 * n)
 
 
-def encoder(path: str):
-    """The tokenizer at ``path``, one a worker; special tokens in a text are ordinary text."""
-    if path not in _ENCODERS:
+class Encoder:
+    """The tokenizer at ``path``; special tokens in a text are ordinary text.
+
+    Byte-level BPE starts a new piece at every space between two characters that are no white
+    space, so the ids of a text without double white space are those of its words, each with the
+    space before it. Words' ids are kept as bytes; other texts are encoded whole.
+    """
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _ENCODERS[path] = Tokenizer.from_file(path)
-        _ENCODERS[path].encode_special_tokens = True
-    return _ENCODERS[path]
-
-
-def encoded(texts: list[str | None], path: str) -> Iterator[np.ndarray]:
-    """Ids of each text, in calls of bounded size."""
-    tok, i = encoder(path), 0
-    while i < len(texts):
-        j, size = i, 0
-        while j < len(texts) and (j == i or size + len(texts[j] or "") <= ENCODE_CHARS):
-            size += len(texts[j] or "")
-            j += 1
-        for e in tok.encode_batch_fast([t or "" for t in texts[i:j]], add_special_tokens=False):
-            yield np.array(e.ids, np.uint32)
-        i = j
+        self.tok = Tokenizer.from_file(path)
+        self.tok.encode_special_tokens = True
+        self.known: dict[str, bytes] = {}
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def ids(self, text: str | None) -> np.ndarray:
+        if not text:
+            return np.zeros(0, np.uint32)
+        if _DOUBLE.search(text):
+            return np.frombuffer(self.whole([text])[0], np.uint32)
+        first, *words = text.split(" ")
+        known = self.known
+        new = [w for w in set(words) if w not in known]
+        if len(known) + len(new) > KNOWN_WORDS:
+            known.clear()
+            new = list(set(words))
+        for i in range(0, len(new), 4096):
+            some = new[i : i + 4096]
+            known.update(zip(some, self.whole([" " + w for w in some]), strict=True))
+        return np.frombuffer(b"".join([*(self.whole([first]) if first else []), *map(known.__getitem__, words)]), np.uint32)
+
+
+def encoded(texts: Iterator[str | None] | list[str | None], path: str) -> Iterator[np.ndarray]:
+    """Ids of each text, by one encoder a worker."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return map(_ENCODERS[path].ids, texts)
 
 
 def _segments(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
