@@ -28,12 +28,15 @@ MAGIC, CHUNK = b"DAC1", 8
 RANK_BITS = 512
 #: A segment ends with the document that brings it to so many ids.
 SEGMENT_IDS = 1 << 18
+#: Characters of text that are encoded together.
+ENCODE_CHARS = 1 << 21
 #: Words whose ids a worker keeps.
 KNOWN_WORDS = 1 << 20
 END_ID = 0
 
 _ENCODERS: dict = {}
 _DOUBLE = re.compile(r"\s\s")
+_MARKS = ".,;:!?"
 
 
 def encode_levels(ids: np.ndarray) -> bytes:
@@ -116,9 +119,11 @@ def open_segment(blob: bytes) -> tuple[list[int | None], np.ndarray, Levels]:
 class Encoder:
     """The tokenizer at ``path``; special tokens in a text are ordinary text.
 
-    Byte-level BPE starts a new piece at every space between two characters that are no white
-    space, so the ids of a text without double white space are those of its words, each with the
-    space before it. Words' ids are kept as bytes; other texts are encoded whole.
+    Byte-level BPE cuts a text into pieces before it merges, and a lone line feed, or a space
+    between two other characters, always starts a piece. So the ids of a text without double white
+    space are those of its words, with the space before them, and of its line feeds; and those of
+    a word that ends in marks after a letter or digit are those of the word and of the marks.
+    Words' ids are kept as bytes; texts with double white space are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -127,33 +132,78 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        self.feed = self.whole(["\n"])[0]
+        (self.feed_id,) = np.frombuffer(self.feed, np.uint32)
+        #: Ids of words as they are, and of words after a space.
+        self.bare: dict[str, bytes] = {"": b""}
+        self.spaced: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def ids(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.uint32)
-        if _DOUBLE.search(text):
-            return np.frombuffer(self.whole([text])[0], np.uint32)
-        first, *words = text.split(" ")
-        known = self.known
-        new = [w for w in set(words) if w not in known]
-        if len(known) + len(new) > KNOWN_WORDS:
+        out = []
+        for i in range(0, len(texts), 4096):
+            out += [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts[i : i + 4096], add_special_tokens=False)]
+        return out
+
+    def _words(self, words: list[str], space: str) -> Iterator[bytes]:
+        """Ids of each of some words without white space, encoded as the lines of one text."""
+        for i in range(0, len(words), 8192):
+            some = words[i : i + 8192]
+            raw = self.whole(["\n".join(space + w for w in some)])[0]
+            ends = np.flatnonzero(np.frombuffer(raw, np.uint32) == self.feed_id) * 4
+            starts = [0, *(ends + 4)]
+            if len(starts) != len(some):
+                raise ValueError("a word's ids hold a line feed")
+            yield from (raw[a:z] for a, z in zip(starts, [*ends, len(raw)], strict=True))
+
+    def _learn(self, words: set[str], known: dict[str, bytes], space: str) -> None:
+        """Put ``words`` among the known ones, which are forgotten first if they are too many."""
+        new = words.difference(known)
+        if not new:
+            return
+        if len(known) + 2 * len(new) > KNOWN_WORDS:
             known.clear()
-            new = list(set(words))
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            known.update(zip(some, self.whole([" " + w for w in some]), strict=True))
-        return np.frombuffer(b"".join([*(self.whole([first]) if first else []), *map(known.__getitem__, words)]), np.uint32)
-
-
-def encoded(texts: Iterator[str | None] | list[str | None], path: str) -> Iterator[np.ndarray]:
-    """Ids of each text, by one encoder a worker."""
+            new = words
+        cut = {w: c for w in new if w[-1:] in _MARKS and (c := w.rstrip(_MARKS)) and c[-1].isalnum()}
+        plain = {cut.get(w, w) for w in new}.difference(known)
+        odd = [w for w in plain if len(w.split()) != 1]
+        known.update(zip(odd, self.whole([space + w for w in odd]), strict=True))
+        plain = list(plain.difference(odd))
+        known.update(zip(plain, self._words(plain, space), strict=True))
+        tails = list({w[len(c) :] for w, c in cut.items()})
+        ids = dict(zip(tails, self.whole(tails), strict=True))
+        known.update((w, known[c] + ids[w[len(c) :]]) for w, c in cut.items())
+
+    def ids(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """Ids of each text; new words of all of them are encoded together."""
+        split = [None if not t or _DOUBLE.search(t) else [x.split(" ") for x in t.split("\n")] for t in texts]
+        bare, spaced = set(), set()
+        for lines in split:
+            for first, *rest in lines or ():
+                bare.add(first)
+                spaced.update(rest)
+        self._learn(bare, self.bare, "")
+        self._learn(spaced, self.spaced, " ")
+        first, later = self.bare.__getitem__, self.spaced.__getitem__
+        for text, lines in zip(texts, split, strict=True):
+            if lines:
+                raw = self.feed.join([first(x[0]) + b"".join(map(later, x[1:])) for x in lines])
+            else:
+                raw = self.whole([text])[0] if text else b""
+            yield np.frombuffer(raw, np.uint32)
+
+
+def encoded(texts: list[str | None], path: str) -> Iterator[np.ndarray]:
+    """Ids of each text, by one encoder a worker, about ENCODE_CHARS of text at a time."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
-    return map(_ENCODERS[path].ids, texts)
+    some, size = [], 0
+    for text in texts:
+        some.append(text)
+        size += len(text or "")
+        if size >= ENCODE_CHARS:
+            yield from _ENCODERS[path].ids(some)
+            some, size = [], 0
+    yield from _ENCODERS[path].ids(some)
 
 
 def _segments(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
