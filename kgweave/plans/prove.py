@@ -42,10 +42,11 @@ def canonical(atoms: Column) -> Column:
     return F.transform(atoms, lambda x: F.struct(x["p"].alias("p"), arg(x["a"]).alias("a"), arg(x["b"]).alias("b")))
 
 
-def _fact_children(frontier: DataFrame, facts: DataFrame) -> DataFrame:
-    """Children by facts that bind the goal's free arguments; the goal's own query is no fact.
+def _fact_children(frontier: DataFrame, facts: DataFrame, ground: bool = False, exclude: bool = True) -> DataFrame:
+    """Children by facts that bind the goal's free arguments.
 
-    One equi-join for each pattern of free arguments. Ground goals that are facts were pruned.
+    One equi-join for each pattern of free arguments; ``ground`` takes goals without any too,
+    which eager pruning has left none of. With ``exclude`` the goal's own query is no fact.
     """
     f = facts.select(F.col("pred").alias("fp"), F.col("h").alias("fh"), F.col("t").alias("ft"))
     rest = F.slice("atoms", 2, F.greatest(F.size("atoms") - 1, F.lit(0)))
@@ -54,12 +55,16 @@ def _fact_children(frontier: DataFrame, facts: DataFrame) -> DataFrame:
     tail = g.where(~_free(F.col("ga")) & _free(F.col("gb"))).join(f, (F.col("gp") == F.col("fp")) & (F.col("ga") == F.col("fh")))
     head = g.where(_free(F.col("ga")) & ~_free(F.col("gb"))).join(f, (F.col("gp") == F.col("fp")) & (F.col("gb") == F.col("ft")))
     both = g.where(_free(F.col("ga")) & _free(F.col("gb"))).join(f, (F.col("gp") == F.col("fp")) & ((F.col("ga") != F.col("gb")) | (F.col("fh") == F.col("ft"))))
-    out = tail.unionByName(head).unionByName(both).where(~own)
+    out = tail.unionByName(head).unionByName(both)
+    if ground:
+        out = out.unionByName(g.where(~_free(F.col("ga")) & ~_free(F.col("gb"))).join(f, (F.col("gp") == F.col("fp")) & (F.col("ga") == F.col("fh")) & (F.col("gb") == F.col("ft"))))
+    out = out.where(~own) if exclude else out
     return out.select("qid", "qp", "qa", "qb", _replaced(rest, [(F.col("ga"), F.col("fh")), (F.col("gb"), F.col("ft"))]).alias("atoms"))
 
 
-def _rule_children(frontier: DataFrame, rules: list[Rule]) -> DataFrame | None:
-    """Children by rules: body, then the remaining atoms, under the most general unifier."""
+def _rule_children(frontier: DataFrame, rules: list[Rule], behind: bool = False) -> DataFrame | None:
+    """Children by rules: body, then the remaining atoms (``behind``: the other way round), under
+    the most general unifier."""
     out = None
     g = frontier.withColumns({"gp": F.col("atoms")[0]["p"], "ga": F.col("atoms")[0]["a"], "gb": F.col("atoms")[0]["b"]})
     for r in rules:
@@ -86,7 +91,8 @@ def _rule_children(frontier: DataFrame, rules: list[Rule]) -> DataFrame | None:
 
         body = F.array(*[F.struct(F.lit(a.p).alias("p"), term(a.a).alias("a"), term(a.b).alias("b")) for a in r.body])
         rest = F.slice("atoms", 2, F.greatest(F.size("atoms") - 1, F.lit(0)))
-        part = x.select("qid", "qp", "qa", "qb", F.concat(body, _replaced(rest, remaining) if remaining else rest).alias("atoms"))
+        rest = _replaced(rest, remaining) if remaining else rest
+        part = x.select("qid", "qp", "qa", "qb", (F.concat(rest, body) if behind else F.concat(body, rest)).alias("atoms"))
         out = part if out is None else out.unionAll(part)
     return out
 
@@ -105,6 +111,65 @@ def prune(children: DataFrame, facts: DataFrame) -> DataFrame:
     return kept.select("qid", "qp", "qa", "qb", left.alias("atoms"))
 
 
+class Search:
+    """A breadth-first search for all goals at once, one written table a round.
+
+    ``eager`` prunes ground facts from children as they are made and never takes a goal as its own
+    premise; without it one atom is resolved a step, bodies go behind the remaining atoms, and
+    ``exclude`` says if goals are premises.
+    """
+
+    def __init__(self, spark: SparkSession, facts: DataFrame, rules: list[Rule], max_depth: int, max_atoms: int, eager: bool = True, exclude: bool = True):
+        self.scratch = Scratch(spark, "prove")
+        self.facts = small(self.scratch.table(facts.select("pred", "h", "t").distinct(), "facts"))
+        self.rules, self.max_depth, self.max_atoms, self.eager, self.exclude = rules, max_depth, max_atoms, eager, exclude
+
+    def _children(self, frontier: DataFrame) -> DataFrame:
+        key = ["qid", "qp", "qa", "qb"]
+        out = _fact_children(frontier, self.facts, not self.eager, self.exclude)
+        by_rules = _rule_children(frontier, self.rules, not self.eager)
+        out = out.unionAll(by_rules) if by_rules is not None else out
+        out = out.select(*key, canonical(F.col("atoms")).alias("atoms")).distinct()
+        return prune(out, self.facts).select(*key, canonical(F.col("atoms")).alias("atoms")).distinct() if self.eager else out
+
+    def run(self, goals: DataFrame) -> None:
+        """Sets ``proved`` (qid, depth), ``left`` (states not followed for depth) and ``factors``
+        (qid, depth, bf: children of a goal's states in a round)."""
+        start = F.array(F.struct(F.col("pred").alias("p"), F.col("h").alias("a"), F.col("t").alias("b")))
+        states = goals.select("qid", F.col("pred").alias("qp"), F.col("h").alias("qa"), F.col("t").alias("qb"), start.alias("atoms"))
+        if self.exclude:
+            known = states.select("qid", F.lit(0).alias("depth")).limit(0)
+        else:
+            f = self.facts.select(F.col("pred").alias("qp"), F.col("h").alias("qa"), F.col("t").alias("qb"))
+            known = states.join(f, ["qp", "qa", "qb"], "left_semi").select("qid", F.lit(0).alias("depth"))
+        self.proved = self.scratch.table(known, "proved")
+        self.left = self.scratch.table(states.join(self.proved, "qid", "left_anti"), "frontier")
+        self.factors = None
+        seen = self.left.select("qid", "atoms")
+        for depth in range(1, self.max_depth + 1):
+            children = self.scratch.table(self._children(self.left), "children")
+            made = children.groupBy("qid").agg(F.count("*").alias("bf")).select("qid", F.lit(depth).alias("depth"), "bf")
+            self.factors = made if self.factors is None else self.factors.unionAll(made)
+            done = children.where(F.size("atoms") == 0).select("qid", F.lit(depth).alias("depth"))
+            self.proved = self.proved.unionAll(done)
+            fresh = children.where(F.size("atoms").between(1, self.max_atoms)).join(done, "qid", "left_anti").join(seen, ["qid", "atoms"], "left_anti")
+            self.left = self.scratch.table(fresh, "frontier")
+            if self.left.isEmpty():
+                break
+            seen = seen.unionAll(self.left.select("qid", "atoms"))
+
+    def depths(self, goals: DataFrame) -> DataFrame:
+        best = self.proved.groupBy("qid").agg(F.min("depth").alias("depth"))
+        return goals.select("qid").join(best, "qid", "left").select("qid", F.coalesce("depth", F.lit(-1)).alias("depth"))
+
+    def statuses(self, goals: DataFrame) -> DataFrame:
+        """(qid, status, depth): provable, not_provable, or depth_limit_exceeded where states are left."""
+        open_ = self.left.select("qid").distinct().withColumn("open", F.lit(True))
+        x = self.depths(goals).join(open_, "qid", "left")
+        status = F.when(F.col("depth") >= 0, "provable").when(F.col("open"), "depth_limit_exceeded").otherwise("not_provable")
+        return x.select("qid", status.alias("status"), "depth")
+
+
 def min_depths(spark: SparkSession, goals: DataFrame, facts: DataFrame, rules: list[Rule], max_depth: int = MAX_DEPTH, max_atoms: int = MAX_ATOMS) -> DataFrame:
     """qid, depth of every goal in ``goals`` (qid, pred, h, t): resolution steps of its shortest
     proof, -1 if there is none within ``max_depth`` steps and ``max_atoms`` atoms.
@@ -112,27 +177,21 @@ def min_depths(spark: SparkSession, goals: DataFrame, facts: DataFrame, rules: l
     The goal itself is never a premise. Facts are pruned as soon as they are ground. A state that
     a goal has met before, up to names of variables, is not followed again; proved goals leave.
     """
-    scratch = Scratch(spark, "prove")
-    facts = small(scratch.table(facts.select("pred", "h", "t").distinct(), "facts"))
-    start = F.array(F.struct(F.col("pred").alias("p"), F.col("h").alias("a"), F.col("t").alias("b")))
-    frontier = scratch.table(goals.select("qid", F.col("pred").alias("qp"), F.col("h").alias("qa"), F.col("t").alias("qb"), start.alias("atoms")), "frontier")
-    seen = frontier.select("qid", "atoms")
-    proved = None
-    for depth in range(1, max_depth + 1):
-        children = _fact_children(frontier, facts)
-        by_rules = _rule_children(frontier, rules)
-        children = children.unionAll(by_rules) if by_rules is not None else children
-        children = children.select("qid", "qp", "qa", "qb", canonical(F.col("atoms")).alias("atoms")).distinct()
-        left = prune(children, facts)
-        left = scratch.table(left.select("qid", "qp", "qa", "qb", canonical(F.col("atoms")).alias("atoms")).distinct(), "children")
-        done = left.where(F.size("atoms") == 0).select("qid", F.lit(depth).alias("depth"))
-        proved = done if proved is None else proved.unionAll(done)
-        fresh = left.where(F.size("atoms").between(1, max_atoms)).join(done, "qid", "left_anti").join(seen, ["qid", "atoms"], "left_anti")
-        frontier = scratch.table(fresh, "frontier")
-        if frontier.isEmpty():
-            break
-        seen = seen.unionAll(frontier.select("qid", "atoms"))
-    if proved is None:
-        return goals.select("qid", F.lit(-1).alias("depth"))
-    best = proved.groupBy("qid").agg(F.min("depth").alias("depth"))
-    return goals.select("qid").join(best, "qid", "left").select("qid", F.coalesce("depth", F.lit(-1)).alias("depth"))
+    search = Search(spark, facts, rules, max_depth, max_atoms)
+    search.run(goals)
+    return search.depths(goals)
+
+
+def exact_depths(spark: SparkSession, goals: DataFrame, facts: DataFrame, rules: list[Rule], exclude: bool, max_depth: int = 7, max_atoms: int = 10) -> DataFrame:
+    """qid, depth by one atom a step without pruning: a goal that is a fact has depth 0, unless
+    ``exclude`` keeps goals from being premises."""
+    search = Search(spark, facts, rules, max_depth, max_atoms, eager=False, exclude=exclude)
+    search.run(goals)
+    return search.depths(goals)
+
+
+def statuses(spark: SparkSession, goals: DataFrame, facts: DataFrame, rules: list[Rule], max_depth: int, max_atoms: int = MAX_ATOMS) -> tuple[DataFrame, DataFrame]:
+    """(qid, status, depth) and branching factors (qid, depth, bf) of an exhaustive search."""
+    search = Search(spark, facts, rules, max_depth, max_atoms)
+    search.run(goals)
+    return search.statuses(goals), search.factors

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph as G
 from ..plans.closure import chain_closure, transitive_closure
-from ..plans.prove import min_depths
+from ..plans.prove import exact_depths, min_depths, statuses
 from ..plans.rules import Atom, Rule
 from . import register
 from .graph import CUST, REGION, SUPP
@@ -38,13 +38,42 @@ def composition_reversed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chain_closure(spark, G.graph(spark, sf_dir, "custIn", "suppIn", "inRegion"), rules)
 
 
-@register(f"SELECT c.h || '|r:' || r_regionkey AS qid, CASE WHEN EXISTS (SELECT 1 FROM ({REGION}) n WHERE n.h = c.t AND n.t = 'r:' || r_regionkey) THEN 2 ELSE -1 END AS depth FROM ({CUST}) c, region")
-def min_proof_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Proof depth of locatedIn(c, r) for every customer and region."""
-    rules = [Rule(Atom("locatedIn", "X", "Y"), (Atom("custIn", "X", "Z"), Atom("inRegion", "Z", "Y")))]
+LOCATED = [Rule(Atom("locatedIn", "X", "Y"), (Atom("custIn", "X", "Z"), Atom("inRegion", "Z", "Y")))]
+
+
+def located_goals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """locatedIn(c, r) for every customer and region."""
     r = spark.read.parquet(f"{sf_dir}/region.parquet").select(F.concat(F.lit("r:"), F.col("r_regionkey").cast("string")).alias("r"))
-    goals = G.relation(spark, sf_dir, "custIn").select("h").crossJoin(F.broadcast(r)).select(F.concat_ws("|", "h", "r").alias("qid"), F.lit("locatedIn").alias("pred"), "h", F.col("r").alias("t"))
-    return min_depths(spark, goals, G.graph(spark, sf_dir, "custIn", "inRegion"), rules, max_depth=4)
+    c = G.relation(spark, sf_dir, "custIn").select("h")
+    return c.crossJoin(F.broadcast(r)).select(F.concat_ws("|", "h", "r").alias("qid"), F.lit("locatedIn").alias("pred"), "h", F.col("r").alias("t"))
+
+
+LOCATED_SQL = f"SELECT c.h || '|r:' || r_regionkey AS qid, EXISTS (SELECT 1 FROM ({REGION}) n WHERE n.h = c.t AND n.t = 'r:' || r_regionkey) AS ok FROM ({CUST}) c, region"
+
+
+@register(f"SELECT qid, CASE WHEN ok THEN 2 ELSE -1 END AS depth FROM ({LOCATED_SQL})")
+def min_proof_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proof depth of every customer's location: the rule, then the fact that binds the nation."""
+    return min_depths(spark, located_goals(spark, sf_dir), G.graph(spark, sf_dir, "custIn", "inRegion"), LOCATED, max_depth=4)
+
+
+@register(f"SELECT qid, CASE WHEN ok THEN 3 ELSE -1 END AS depth FROM ({LOCATED_SQL})")
+def exact_proof_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with one atom a step: the rule, then two facts."""
+    return exact_depths(spark, located_goals(spark, sf_dir), G.graph(spark, sf_dir, "custIn", "inRegion"), LOCATED, exclude=False)
+
+
+@register(f"SELECT qid, CASE WHEN ok THEN 'provable' ELSE 'not_provable' END AS status, CASE WHEN ok THEN 2 ELSE -1 END AS depth FROM ({LOCATED_SQL})")
+def proof_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = statuses(spark, located_goals(spark, sf_dir), G.graph(spark, sf_dir, "custIn", "inRegion"), LOCATED, max_depth=4)
+    return found
+
+
+@register(f"SELECT depth, count(*) AS goals, CAST(sum(bf) AS BIGINT) AS children FROM (SELECT qid, 1 AS depth, 1 AS bf FROM ({LOCATED_SQL}) UNION ALL SELECT qid, 2, 1 FROM ({LOCATED_SQL})) GROUP BY depth")
+def branching_by_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Goals and their children in each round of the search."""
+    _, factors = statuses(spark, located_goals(spark, sf_dir), G.graph(spark, sf_dir, "custIn", "inRegion"), LOCATED, max_depth=2)
+    return factors.groupBy("depth").agg(F.count("*").alias("goals"), F.sum("bf").alias("children"))
 
 
 @register(f"WITH RECURSIVE e AS ({NEXT}), p(h, t, depth) AS (SELECT h, t, 1 FROM e UNION ALL SELECT p.h, e.t, p.depth + 1 FROM p JOIN e ON p.t = e.h WHERE p.depth < 100), g AS (SELECT 'n:' || a.n_nationkey AS h, 'n:' || b.n_nationkey AS t FROM nation a, nation b) SELECT g.h || '|' || g.t AS qid, CAST(coalesce(min(CASE WHEN depth <= 6 THEN depth END), -1) AS INTEGER) AS depth FROM g LEFT JOIN p ON g.h = p.h AND g.t = p.t GROUP BY g.h, g.t")

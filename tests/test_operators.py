@@ -54,3 +54,26 @@ def test_seed_average_needs_every_seed(spark):
 def test_branching_buckets(spark):
     x = spark.createDataFrame([(3,), (9,), (10,), (14,), (17,)], "bf long")
     assert {tuple(r) for r in episodes.branching_histogram(x).collect()} == {(3, 1), (9, 1), (10, 2), (15, 1)}
+
+
+def test_neural_scorers_against_loops(spark):
+    import numpy as np
+
+    from kgweave.operators import neural
+
+    rng = np.random.default_rng(0)
+    rows = [(i, *(rng.normal(size=8).tolist() for _ in range(3))) for i in range(20)]
+    df = spark.createDataFrame(rows, "id int, hv array<double>, r array<double>, tv array<double>")
+    core = rng.normal(size=(8, 8, 8))
+    got = {r.id: r.score for r in neural.tucker(df, core, ["id"]).collect()}
+    for i, h, r, t in rows:
+        assert got[i] == pytest.approx(sum(core[a, b, c] * h[a] * r[b] * t[c] for a in range(8) for b in range(8) for c in range(8)))
+    filters, project = rng.normal(size=(2, 2, 2)), rng.normal(size=(2 * 3 * 3, 8))
+    got = {r.id: r.score for r in neural.conv_e(df, filters, project, 4, ["id"]).collect()}
+    for i, h, r, t in rows:
+        image = np.array([h[:4], h[4:], r[:4], r[4:]])
+        maps = [max(0, sum(f[a, b] * image[y + a, x + b] for a in range(2) for b in range(2))) for f in filters for y in range(3) for x in range(3)]
+        assert got[i] == pytest.approx(float(np.maximum(np.array(maps) @ project, 0) @ np.array(t)))
+    two = spark.createDataFrame([(1, 0.5, 2.0), (2, -1.0, 0.0)], "id int, proof double, kge double")
+    got = {r.id: r.score for r in neural.mlp_bridge(two, np.eye(2), np.array([0.0, 1.0]), np.array([2.0, 3.0]), ["id"]).collect()}
+    assert got == {1: 10.0, 2: 3.0}

@@ -76,3 +76,18 @@ def test_closures(spark):
     assert {(r.h, r.t) for r in chain_closure(spark, facts, rules).where("pred = 's'").collect()} == {("a", "c"), ("a", "d")}
     assert chains([rule("h X Y", "p X Z", "q Z Y"), rule("h X Y", "p Z X", "q Y Z"), rule("h X Y", "p X Y", "q X Y")]) == [("h", "p", False, "q", False), ("h", "p", True, "q", True)]
     assert symmetric_predicates([rule("p X Y", "p Y X"), rule("q X Y", "p X Y")]) == ["p"]
+
+
+def test_exact_depths_and_statuses(spark):
+    from kgweave.plans.prove import exact_depths, statuses
+
+    facts = spark.createDataFrame([("n", "a", "b"), ("n", "b", "c"), ("l", "c", "z")], "pred string, h string, t string")
+    goals = spark.createDataFrame([("0", "l", "c", "z"), ("1", "l", "b", "z"), ("2", "l", "a", "z"), ("3", "l", "z", "a")], "qid string, pred string, h string, t string")
+    rules = [rule("l X Z", "n X Y", "l Y Z")]
+    got = {r.qid: r.depth for r in exact_depths(spark, goals, facts, rules, exclude=False).collect()}
+    # A rule step, then a step for each atom of its body.
+    assert got == {"0": 0, "1": 3, "2": 5, "3": -1}
+    assert {r.qid: r.depth for r in exact_depths(spark, goals, facts, rules, exclude=True).collect()}["0"] == -1
+    found, factors = statuses(spark, goals, facts, rules, max_depth=2)
+    assert {r.qid: (r.status, r.depth) for r in found.collect()} == {"0": ("not_provable", -1), "1": ("provable", 2), "2": ("depth_limit_exceeded", -1), "3": ("not_provable", -1)}
+    assert {(r.qid, r.depth): r.bf for r in factors.collect()}["1", 1] == 1
