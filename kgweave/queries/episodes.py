@@ -31,10 +31,10 @@ def gae_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(
-    f"WITH s AS ({STEPS}) SELECT env, t, round(reward + 0.99 * coalesce(lead(reward, 1) OVER w, 0) + pow(0.99, 2) * coalesce(lead(reward, 2) OVER w, 0) + pow(0.99, 3) * coalesce(lead(value, 3) OVER w, 0), 4) AS target FROM s WINDOW w AS (PARTITION BY env ORDER BY t)"
+    f"WITH s AS ({STEPS}) SELECT env, t, round(reward + 0.99 * coalesce(lead(reward, 1) OVER w, 0) + pow(0.99, 2) * coalesce(lead(reward, 2) OVER w, 0) + pow(0.99, 3) * coalesce(lead(value, 3) OVER w, 0), 6) AS target FROM s WINDOW w AS (PARTITION BY env ORDER BY t)"
 )
 def nstep_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.n_step(steps(spark, sf_dir), 3).select("env", "t", F.round("target", 4).alias("target"))
+    return E.n_step(steps(spark, sf_dir), 3).select("env", "t", F.round("target", 6).alias("target"))
 
 
 @register(f"WITH s AS ({STEPS}), p AS (SELECT *, ln(greatest(value / 10, 1e-9)) AS phi FROM s) SELECT env, t, round(reward + 0.99 * CASE WHEN done THEN 0 ELSE coalesce(lead(phi) OVER (PARTITION BY env ORDER BY t), 0) END - phi, 4) AS shaped FROM p")
