@@ -29,6 +29,8 @@ STEADY = 0.002
 ROUNDING = 1e-4
 #: Recall at which the audit is content, and extra rounds it may ask for.
 RECALL, EXTRA = 0.98, 3
+#: Vectors of each part of a dense group that meet those of other parts.
+PARTS = 8
 #: Vectors in a cell of a projection, and in one side of a block.
 CELL, BLOCK = 256, 4096
 AUDIT = 20
@@ -287,7 +289,7 @@ def _started(nodes: DataFrame, n: int, k: int, seed: int) -> DataFrame:
     """
     bits = max(0, int(np.ceil(np.log2(max(n, 1) / CELL))))
     cells = nodes.mapInArrow(lambda it: _cells(it, TREES, bits, seed), "tree int, cell long, node long, unit binary")
-    dealt = cells.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(8))).repartition("tree", "cell", "salt").sortWithinPartitions("tree", "cell", "salt", F.length("unit")).drop("salt")
+    dealt = cells.withColumn("salt", F.pmod(F.xxhash64("node", "tree"), F.lit(4))).repartition("tree", "cell", "salt").sortWithinPartitions("tree", "cell", "salt", F.length("unit")).drop("salt")
     return _lists(dealt.mapInArrow(lambda it: _start(it, k), _PAIR).withColumn("fresh", F.lit(True)), k)
 
 
@@ -320,11 +322,27 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, least: float = THRE
     nodes = each.where("unit is not null").groupBy("unit").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"))
     nodes = scratch.table(nodes.select(F.coalesce("least", F.xxhash64("unit")).alias("node"), "least", "weight", "unit").mapInArrow(_single, "node long, least long, weight long, unit binary, v binary"), "nodes")
     graph, links = near_graph(spark, nodes, scratch, least, k)
-    tied = scratch.table(components(links, scratch), "tied")
-    roots = nodes.join(tied, "node", "left").select("node", "least", "weight", "unit", F.coalesce("root", "node").alias("g"))
-    # A list with nothing but links is saturated: it grows to all of its component.
+    # A list with nothing but links is saturated: it grows to all of its component. Lists of a
+    # dense group can close in parts, so some of each part are compared anew until none join.
     full = graph.groupBy("a").agg(F.min("s").alias("s"), F.count("*").alias("n")).where((F.col("n") >= k) & (F.col("s") >= least - ROUNDING)).select(F.col("a").alias("node"))
-    groups = scratch.table(roots.join(full, "node", "left_semi").select("g").distinct(), "saturated")
+    full = scratch.table(full, "full")
+    for again in range(EXTRA + 1):
+        tied = scratch.table(components(links, scratch), "tied")
+        roots = nodes.join(tied, "node", "left").select("node", "least", "weight", "unit", "v", F.coalesce("root", "node").alias("g"))
+        groups = scratch.table(roots.join(full, "node", "left_semi").select("g").distinct(), "saturated")
+        if again == EXTRA or groups.limit(2).count() < 2:
+            break
+        place = F.row_number().over(Window.partitionBy("g").orderBy(F.xxhash64("node"), "node"))
+        some = roots.join(small(groups), "g", "left_semi").withColumn("place", place).where(F.col("place") <= PARTS)
+        some = scratch.table(some.select("node", "g", "unit", "v"), "parts")
+        # Lists must reach past the own part.
+        _, met = near_graph(spark, some, scratch, least, 2 * PARTS)
+        of = some.select("node", "g")
+        across = met.join(of.toDF("a", "ga"), "a").join(of.toDF("b", "gb"), "b").where("ga <> gb").select("a", "b")
+        across = scratch.table(across, "across")
+        if across.isEmpty():
+            break
+        links = links.unionAll(across)
     grown = _linked_in(roots.join(small(groups), "g", "left_semi").select("g", "node", "unit", "weight"), least)
     ends = links.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p")).select("p.a", "p.b")
     counted = ends.join(nodes.select(F.col("node").alias("b"), "weight"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("m"))
