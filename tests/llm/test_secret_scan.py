@@ -1,0 +1,65 @@
+import random
+import re
+
+from helpers import ODD, documents
+from pyspark.sql import functions as F
+
+from kgweave.llm import secret_scan
+
+
+def planted(n, seed=1):
+    rng = random.Random(seed)
+    hexes = lambda k: "".join(rng.choice("0123456789abcdef") for _ in range(k))
+    words = lambda: " ".join(rng.choice(["and", "then", "there", "house", "river"]) for _ in range(rng.randint(3, 9)))
+    rows, true = [], set()
+    for i in range(n):
+        kind = i % 6
+        secret = {0: hexes(40), 1: "AKIA" + "".join(rng.choice("ABCDEFGHJK234567") for _ in range(16)), 2: hexes(18)}.get(kind)
+        mid = {0: f'token = "{secret}"', 1: secret, 2: f"password={secret}", 3: f"me.{rng.randrange(99)}@mail{rng.randrange(9)}.example.com", 4: str(rng.randrange(10**15, 10**16)), 5: f"commit {hexes(40)}"}[kind]
+        text = f"{words()}  {mid}\n{words()}"
+        rows.append((i, text))
+        if secret:
+            true.add((i, text.index(secret)))
+    return rows, true
+
+
+def test_planted_secrets_and_decoys(spark):
+    rows, true = planted(300)
+    docs = documents(spark, rows + ODD)
+    found = secret_scan.scan(spark, docs).collect()
+    texts = dict(rows)
+    assert all(len(texts[r.doc_id][r.start : r.start + r.length]) == r.length for r in found)
+    assert {(r.doc_id, r.start) for r in found if r.secret} == true
+    run = re.compile(secret_scan.RUN)
+    want = set()
+    for i, t in rows:
+        for m in re.finditer(r"\S+", t):
+            runs = [x for x in run.finditer(m[0]) if secret_scan.LEAST <= len(x[0]) <= secret_scan.MOST]
+            if runs:
+                best = max(runs, key=lambda x: len(x[0]))
+                want.add((i, m.start() + best.start(), len(best[0])))
+    assert {(r.doc_id, r.start, r.length) for r in found if r.doc_id in texts and r.doc_id > 10} == {w for w in want if w[0] > 10}
+
+
+def test_given_labels_and_empty(spark):
+    rows, true = planted(120)
+    labels = spark.createDataFrame([(d, s, 1) for d, s in true if d % 5] or [], "doc_id long, start long, label int")
+    docs = documents(spark, rows)
+    every = secret_scan.scan(spark, docs)
+    lab = every.select("doc_id", "start").join(labels, ["doc_id", "start"], "left").where(F.col("doc_id") % 5 != 0).select("doc_id", "start", F.coalesce("label", F.lit(0)).alias("label"))
+    got = secret_scan.scan(spark, docs, lab).where(F.col("doc_id") % 5 == 0).collect()
+    assert {(r.doc_id, r.start) for r in got if r.secret} == {t for t in true if t[0] % 5 == 0}
+    assert secret_scan.scan(spark, docs.limit(0)).count() == 0
+
+
+def test_forest_expression_is_the_forest(spark):
+    rng = random.Random(2)
+    rows = [tuple(rng.random() for _ in secret_scan.FEATURES) for _ in range(200)]
+    forest = secret_scan.grow_forest(rows, [int(r[0] > 0.5) for r in rows])
+
+    def value(t, r):
+        return t if isinstance(t, float) else value(t[2] if r[t[0]] <= t[1] else t[3], r)
+
+    df = spark.createDataFrame(rows, ", ".join(f"{f} double" for f in secret_scan.FEATURES))
+    for r in df.withColumn("s", secret_scan.forest_score(forest)).collect():
+        assert abs(r.s - sum(value(t, r) for t in forest) / len(forest)) < 1e-9
