@@ -26,12 +26,12 @@ from .components import components
 
 BITS, SEED = 64, 42
 #: Subtries with more fingerprints are cut by one more exact block.
-SUBTRIE = 256
+SUBTRIE = 1024
 #: Node pairs, or pairs of sketches, held at once in a task.
 PAIRS = 1 << 20
 #: Bins of a sketch: the standard error of a similarity of 0.8 is then 0.035.
 BINS = 128
-EMPTY = np.uint16(0xFFFF)
+EMPTY = np.uint8(0xFF)
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -65,9 +65,10 @@ def fingerprint(text: str | None, n: int = 3) -> int:
 def sketch(words: list[bytes], n: int) -> np.ndarray:
     """One-permutation min-hash of the n-word shingles: the least value in each of BINS bins."""
     h = _hashes(words, n)
-    out = np.full(BINS, EMPTY, np.uint16)
-    np.minimum.at(out, (h % BINS).astype(np.int64), np.minimum(h >> np.uint64(48), np.uint64(0xFFFE)).astype(np.uint16))
-    return out
+    least = np.full(BINS, 1 << 56, np.int64)
+    np.minimum.at(least, (h % BINS).astype(np.int64), (h >> np.uint64(8)).astype(np.int64))
+    # Of each minimum one byte is kept: two that differ agree in it once in 255 times.
+    return np.where(least == 1 << 56, EMPTY, least % 255).astype(np.uint8)
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -195,7 +196,7 @@ def _join_subtries(batches: Iterator[pa.RecordBatch], budget: int, least: float
         fp = table.column("fp").to_numpy().view(np.uint64)
         rows = rows[np.lexsort((table.column("node").to_numpy()[rows], fp[rows], group[rows]))]
         fp, group, node = fp[rows], group[rows], table.column("node").to_numpy()[rows]
-        sketches = None if least is None else np.frombuffer(b"".join(table.column("sketch").take(pa.array(rows)).to_pylist()), np.uint16).reshape(-1, BINS)
+        sketches = None if least is None else np.frombuffer(b"".join(table.column("sketch").take(pa.array(rows)).to_pylist()), np.uint8).reshape(-1, BINS)
         bounds = np.concatenate([np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])), [len(fp)]])
         forest = Forest(len(fp))
         for a, b in trie_links(fp, bounds, budget):
@@ -218,26 +219,24 @@ def links(points: DataFrame, scratch: Scratch, budget: int, least: float | None
     points: distinct node, fp and, where ``least`` gives the similarity that a link needs, sketch.
     A task hands on a star for each component that it sees, so at most a row a node and block.
     """
-    found, todo = [], [(points, _blocks(0, budget))]
-    while todo:
-        keyed = _keyed(*todo[0])
-        for x in todo[1:]:
-            keyed = keyed.unionAll(_keyed(*x))
-        if found:
-            keyed = scratch.table(keyed, "keyed")
+    spark, found = scratch.spark, None
+    keyed = _keyed(points, _blocks(0, budget))
+    while keyed is not None:
         hot = scratch.table(keyed.groupBy("mask", "top").count().where(F.col("count") > SUBTRIE).select("mask", "top"), "hot")
-        masks = [r.mask for r in hot.select("mask").distinct().orderBy("mask").toLocalIterator()]
-        todo, cold = [], keyed
-        if masks:
-            split = {m: [x for x in _blocks(m % (1 << 64), budget) if x != m % (1 << 64)] for m in masks}
-            side = small(hot.where(F.col("mask").isin([m for m in masks if split[m]])))
+        # At most (budget + 1) ** level masks. One with an empty block can't be cut: any pair agrees there.
+        cuts = {r.mask: _blocks(r.mask % (1 << BITS), budget) for r in hot.select("mask").distinct().toLocalIterator()}
+        cuts = {m: x for m, x in cuts.items() if m % (1 << BITS) not in x}
+        cold, deeper = keyed, None
+        if cuts:
+            side = small(hot.where(F.col("mask").isin(sorted(cuts))))
             cold = keyed.join(side, ["mask", "top"], "left_anti")
-            todo = [(keyed.where(F.col("mask") == m).join(side, ["mask", "top"], "left_semi").select(*points.columns), split[m]) for m in masks if split[m]]
-        found.append(cold.repartition("mask", "top").sortWithinPartitions("mask", "top").mapInArrow(lambda it: _join_subtries(it, budget, least), "a long, b long"))
-    out = found[0]
-    for x in found[1:]:
-        out = out.unionAll(x)
-    return out
+            subs = spark.createDataFrame([(m, [_signed(x) for x in subs]) for m, subs in sorted(cuts.items())], "mask long, subs array<long>")
+            again = keyed.join(side, ["mask", "top"], "left_semi").join(F.broadcast(subs), "mask").select(F.explode("subs").alias("mask"), *points.columns)
+            deeper = again.select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("top"), *points.columns)
+        part = scratch.table(cold.repartition("mask", "top").sortWithinPartitions("mask", "top").mapInArrow(lambda it: _join_subtries(it, budget, least), "a long, b long"), "links")
+        found = part if found is None else found.unionAll(part)
+        keyed = deeper
+    return found
 
 
 def _owners(points: DataFrame, tied: DataFrame, scratch: Scratch) -> DataFrame:
@@ -272,7 +271,7 @@ def _sketched(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBa
         fps, marks = np.empty(batch.num_rows, np.uint64), []
         for k, text in enumerate(batch.column("text")):
             words = _words(text.as_py())
-            fps[k] = _majority(_hashes(words, 1))
+            fps[k] = _majority(_hashes(list(set(words)), 1))
             marks.append(sketch(words, n).tobytes())
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64)), pa.array(marks, pa.binary())], ["doc_id", "fp", "sketch"])
 
@@ -283,48 +282,49 @@ class _Leaders:
     def __init__(self, least: float):
         self.least, self.of = least, {}
 
-    def place(self, fp: int, mark: bytes) -> bytes:
-        row = np.frombuffer(mark, np.uint16)
+    def place(self, fp: int, mark: bytes, node: int) -> int:
+        """The node of the leader that the text joins, which may be its own."""
+        row = np.frombuffer(mark, np.uint8)
         held = self.of.setdefault(fp, [])
-        for a in held:
-            if a == mark or similarity(np.frombuffer(a, np.uint16), row) >= self.least:
-                return a
-        held.append(mark)
-        return mark
+        for leader, a in held:
+            if leader == node or similarity(a, row) >= self.least:
+                return leader
+        held.append((node, row))
+        return node
 
 
 def _lead(batches: Iterator[pa.RecordBatch], least: float, forget: bool) -> Iterator[pa.RecordBatch]:
-    """Each row's sketch beside that of its leader in this task; ``forget``: rows come by fp."""
+    """Each node with its leader in this task; leaders keep their sketch. ``forget``: rows come by fp."""
     leaders, last = _Leaders(least), None
     for batch in batches:
-        out = []
-        for fp, mark in zip(batch.column("fp").to_pylist(), batch.column("sketch").to_pylist(), strict=True):
+        nodes, out = batch.column("node").to_pylist(), []
+        for node, fp, mark in zip(nodes, batch.column("fp").to_pylist(), batch.column("sketch").to_pylist(), strict=True):
             if forget and fp != last:
                 leaders.of.clear()
             last = fp
-            out.append(leaders.place(fp, mark))
-        yield pa.RecordBatch.from_arrays([batch.column("fp"), batch.column("sketch"), pa.array(out, pa.binary())], ["fp", "sketch", "leader"])
+            out.append(leaders.place(fp, mark, node))
+        kept = [m if n == k else None for n, k, m in zip(nodes, out, batch.column("sketch").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(out, pa.int64()), batch.column("fp"), pa.array(kept, pa.binary())], ["node", "leader", "fp", "sketch"])
 
 
 def similar_groups(spark: SparkSession, docs: DataFrame, n: int = 5, least: float = 0.8, budget: int = 5) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, component_id (smallest doc_id of its group).
 
-    Candidates: SimHash fingerprints of single words within ``budget`` bits, which texts that share
-    most shingles keep; a candidate pair is linked if its ``n``-word shingle sets have a Jaccard
+    Candidates: SimHash fingerprints of a text's different words within ``budget`` bits, which texts
+    that share most shingles keep; a candidate pair is linked if its ``n``-word shingle sets have a Jaccard
     similarity of ``least`` or more, by sketches of BINS min-hashes. Texts of one fingerprint first
     gather under leaders, in each task and then overall, so a large group of near copies is down
     to a few leaders before the trie join. Nulls, empty texts and repeats as in near_duplicates.
     """
     scratch = Scratch(spark, "similar")
-    node = F.xxhash64("fp", "sketch").alias("node")
-    each = scratch.table(_slim(docs).mapInArrow(lambda it: _sketched(it, n), "doc_id long, fp long, sketch binary").select("doc_id", node, "fp", "sketch"), "sketches")
-    schema = "fp long, sketch binary, leader binary"
-    first = scratch.table(each.select("fp", "sketch").mapInArrow(lambda it: _lead(it, least, False), schema).distinct(), "leaders")
-    heads = first.select("fp", F.col("leader").alias("sketch")).distinct()
-    second = scratch.table(heads.repartition("fp").sortWithinPartitions("fp", "sketch").mapInArrow(lambda it: _lead(it, least, True), schema), "heads")
-    led = first.unionAll(second).where("sketch <> leader").select(F.xxhash64("fp", "sketch").alias("a"), F.xxhash64("fp", "leader").alias("b"))
-    points = second.select("fp", F.col("leader").alias("sketch")).distinct().select(node, "fp", "sketch")
-    near = links(scratch.table(points, "points"), scratch, budget, least)
+    marked = _slim(docs).mapInArrow(lambda it: _sketched(it, n), "doc_id long, fp long, sketch binary")
+    each = scratch.table(marked.select("doc_id", F.xxhash64("fp", "sketch").alias("node"), "fp", "sketch"), "sketches")
+    schema = "node long, leader long, fp long, sketch binary"
+    first = scratch.table(each.select("node", "fp", "sketch").mapInArrow(lambda it: _lead(it, least, False), schema), "leaders")
+    heads = first.where("node = leader").select("node", "fp", "sketch").dropDuplicates(["node"])
+    second = scratch.table(heads.repartition("fp").sortWithinPartitions("fp", "node").mapInArrow(lambda it: _lead(it, least, True), schema), "heads")
+    led = first.select("node", "leader").unionAll(second.select("node", "leader")).where("node <> leader").toDF("a", "b")
+    near = links(second.where("node = leader").select("node", "fp", "sketch"), scratch, budget, least)
     tied = components(led.unionAll(near), scratch)
     owners = _owners(each.groupBy("node").agg(F.min("doc_id").alias("least")), tied, scratch)
     return each.select("doc_id", "node").join(owners, "node").select("doc_id", "component_id")
