@@ -144,19 +144,20 @@ def leak_digest(leaks: DataFrame) -> DataFrame:
 
 
 def drop_leaked(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Rows of ``docs`` without a hit word, with their columns; scanned in place, no join."""
-    from .common import packed, unpacked
+    """Rows of ``docs`` without a hit word, with their columns; scanned in place, no join.
 
-    rows = packed(docs)
-    kept = rows.select("_row", F.col("_row.doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("_row.text"), F.lit("")).alias("text"))
+    Only texts go to Python, and one truth value a row comes back.
+    """
     for block in _blocks(benchmark, AUTOMATON_WORDS):
-        shared = spark.sparkContext.broadcast(block)
-        kept = kept.mapInArrow(lambda it, shared=shared: _keep_clean(it, shared.value), kept.schema)
-    return unpacked(kept, docs)
+        docs = docs.where(_clean(spark.sparkContext.broadcast(block))(F.col("text").cast("string")))
+    return docs
 
 
-def _keep_clean(batches: Iterator[pa.RecordBatch], items: list) -> Iterator[pa.RecordBatch]:
-    machine = Automaton(items, WINDOW)
-    for batch in batches:
-        clean = [not machine.find(words_of(t.as_py())) for t in batch.column("text")]
-        yield batch.filter(pa.array(clean, pa.bool_()))
+def _clean(shared):
+    @F.arrow_udf("boolean")
+    def clean(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        machine = Automaton(shared.value, WINDOW)
+        for some in texts:
+            yield pa.array([not machine.find(words_of(t.as_py())) for t in some], pa.bool_())
+
+    return clean

@@ -29,9 +29,9 @@ RANK_BITS = 512
 #: A segment ends with the document that brings it to so many ids.
 SEGMENT_IDS = 1 << 18
 #: Characters of text that are encoded together.
-ENCODE_CHARS = 1 << 21
+ENCODE_CHARS = 1 << 20
 #: Words whose ids a worker keeps.
-KNOWN_WORDS = 1 << 20
+KNOWN_WORDS = 1 << 19
 END_ID = 0
 
 _ENCODERS: dict = {}
