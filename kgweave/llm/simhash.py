@@ -28,7 +28,7 @@ BITS, SEED = 64, 42
 #: Subtries with more fingerprints are cut by one more exact block.
 SUBTRIE = 1024
 #: Node pairs, or pairs of sketches, held at once in a task.
-PAIRS = 1 << 20
+PAIRS = 1 << 17
 #: Bins of a sketch: the standard error of a similarity of 0.8 is then 0.035.
 BINS = 128
 EMPTY = np.uint8(0xFF)
