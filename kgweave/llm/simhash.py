@@ -276,56 +276,19 @@ def _sketched(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64)), pa.array(marks, pa.binary())], ["doc_id", "fp", "sketch"])
 
 
-class _Leaders:
-    """Groups of one fingerprint: a member is similar to the first of its group."""
-
-    def __init__(self, least: float):
-        self.least, self.of = least, {}
-
-    def place(self, fp: int, mark: bytes, node: int) -> int:
-        """The node of the leader that the text joins, which may be its own."""
-        row = np.frombuffer(mark, np.uint8)
-        held = self.of.setdefault(fp, [])
-        for leader, a in held:
-            if leader == node or similarity(a, row) >= self.least:
-                return leader
-        held.append((node, row))
-        return node
-
-
-def _lead(batches: Iterator[pa.RecordBatch], least: float, forget: bool) -> Iterator[pa.RecordBatch]:
-    """Each node with its leader in this task; leaders keep their sketch. ``forget``: rows come by fp."""
-    leaders, last = _Leaders(least), None
-    for batch in batches:
-        nodes, out = batch.column("node").to_pylist(), []
-        for node, fp, mark in zip(nodes, batch.column("fp").to_pylist(), batch.column("sketch").to_pylist(), strict=True):
-            if forget and fp != last:
-                leaders.of.clear()
-            last = fp
-            out.append(leaders.place(fp, mark, node))
-        kept = [m if n == k else None for n, k, m in zip(nodes, out, batch.column("sketch").to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(out, pa.int64()), batch.column("fp"), pa.array(kept, pa.binary())], ["node", "leader", "fp", "sketch"])
-
-
 def similar_groups(spark: SparkSession, docs: DataFrame, n: int = 5, least: float = 0.8, budget: int = 5) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, component_id (smallest doc_id of its group).
 
     Candidates: SimHash fingerprints of a text's different words within ``budget`` bits, which texts
     that share most shingles keep; a candidate pair is linked if its ``n``-word shingle sets have a Jaccard
-    similarity of ``least`` or more, by sketches of BINS min-hashes. Texts of one fingerprint first
-    gather under leaders, in each task and then overall, so a large group of near copies is down
-    to a few leaders before the trie join. Nulls, empty texts and repeats as in near_duplicates.
+    similarity of ``least`` or more, by sketches of BINS min-hashes. Every different text goes into
+    the trie join, so no link of a group is lost. Nulls, empty texts and repeats as in near_duplicates.
     """
     scratch = Scratch(spark, "similar")
     marked = _slim(docs).mapInArrow(lambda it: _sketched(it, n), "doc_id long, fp long, sketch binary")
     each = scratch.table(marked.select("doc_id", F.xxhash64("fp", "sketch").alias("node"), "fp", "sketch"), "sketches")
-    schema = "node long, leader long, fp long, sketch binary"
-    first = scratch.table(each.select("node", "fp", "sketch").mapInArrow(lambda it: _lead(it, least, False), schema), "leaders")
-    heads = first.where("node = leader").select("node", "fp", "sketch").dropDuplicates(["node"])
-    second = scratch.table(heads.repartition("fp").sortWithinPartitions("fp", "node").mapInArrow(lambda it: _lead(it, least, True), schema), "heads")
-    led = first.select("node", "leader").unionAll(second.select("node", "leader")).where("node <> leader").toDF("a", "b")
-    near = links(second.where("node = leader").select("node", "fp", "sketch"), scratch, budget, least)
-    tied = components(led.unionAll(near), scratch)
+    points = scratch.table(each.select("node", "fp", "sketch").dropDuplicates(["node"]), "points")
+    tied = components(links(points, scratch, budget, least), scratch)
     owners = _owners(each.groupBy("node").agg(F.min("doc_id").alias("least")), tied, scratch)
     return each.select("doc_id", "node").join(owners, "node").select("doc_id", "component_id")
 

@@ -80,3 +80,31 @@ def test_similar_groups_catch_near_copies_and_leave_the_rest(spark, monkeypatch)
     kept = simhash.keep_first(spark, documents(spark, rows))
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([*range(0, 144, 12), 1000, 1002, None], key=str)
     assert kept.columns == documents(spark, rows).columns
+
+
+def jaccard(a, b, n=5):
+    x, y = ({tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} for w in (a.split(), b.split()))
+    return len(x & y) / len(x | y)
+
+
+def bridge(rng):
+    """L, m, X: m is an original, L and X are separate edits of it that are not similar to each other."""
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    m = [word() for _ in range(300)]
+    # Words in another order keep a fingerprint of different words.
+    edit = lambda at: " ".join(m[:at] + [w for i in range(at, at + 14, 2) for w in (m[i + 1], m[i])] + m[at + 14 :])
+    left, mid, right = edit(20), " ".join(m), edit(200)
+    assert jaccard(left, mid) >= 0.8 and jaccard(mid, right) >= 0.8 > jaccard(left, right)
+    return left, mid, right
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_a_bridge_joins_what_it_links(spark, parts):
+    rng = random.Random(12)
+    rows = []
+    for g in range(8):
+        left, mid, right = bridge(rng)
+        rows += [(10 * g + i, t) for i, t in enumerate((left, mid, right) if g % 2 else (left, right, mid))]
+    for order in (rows, rows[::-1]):
+        got = simhash.similar_groups(spark, documents(spark, order).repartition(parts) if parts > 1 else documents(spark, order).coalesce(1)).collect()
+        assert {r.doc_id: r.component_id for r in got} == {d: d // 10 * 10 for d, _ in rows}
