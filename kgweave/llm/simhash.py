@@ -7,8 +7,8 @@ are cut again: the bits below are dealt into e + 1 blocks, one of which must agr
 subtrie, pairs of nodes are traversed together bit by bit, differing bits are added up, and a pair
 beyond the budget is cut.
 
-``near_duplicates`` links fingerprints by their distance alone. ``similar_groups`` takes the linked
-pairs as candidates and keeps those whose texts are similar, by sketches of their shingle sets.
+``near_duplicates`` links fingerprints by their distance alone. ``similar_groups`` links texts by the
+exact similarity of their shingle sets; its candidates share a band of min-hashes.
 """
 
 from __future__ import annotations
@@ -27,11 +27,11 @@ from .components import components
 BITS, SEED = 64, 42
 #: Subtries with more fingerprints are cut by one more exact block.
 SUBTRIE = 1024
-#: Node pairs, or pairs of sketches, held at once in a task.
+#: Node pairs held at once in a task.
 PAIRS = 1 << 17
-#: Bins of a sketch: the standard error of a similarity of 0.8 is then 0.035.
-BINS = 128
-EMPTY = np.uint8(0xFF)
+#: Bands of min-hashes and min-hashes a band: a pair of similarity s shares no band with a chance
+#: of (1 - s ** ROWS) ** BANDS, which is 7e-5 at 0.8, whatever the length of the texts.
+BANDS, ROWS = 24, 5
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -62,20 +62,31 @@ def fingerprint(text: str | None, n: int = 3) -> int:
     return _majority(_hashes(_words(text), n))
 
 
-def sketch(words: list[bytes], n: int) -> np.ndarray:
-    """One-permutation min-hash of the n-word shingles: the least value in each of BINS bins."""
-    h = _hashes(words, n)
-    least = np.full(BINS, 1 << 56, np.int64)
-    np.minimum.at(least, (h % BINS).astype(np.int64), (h >> np.uint64(8)).astype(np.int64))
-    # Of each minimum one byte is kept: two that differ agree in it once in 255 times.
-    return np.where(least == 1 << 56, EMPTY, least % 255).astype(np.uint8)
+def shingles(text: str | None, n: int) -> np.ndarray:
+    """The hashes of the different n-word shingles, sorted."""
+    return np.unique(_hashes(_words(text), n))
 
 
-def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Estimated Jaccard similarity, row by row; two sketches without shingles are equal."""
-    full = (a != EMPTY) | (b != EMPTY)
-    n = full.sum(-1)
-    return np.where(n == 0, 1.0, ((a == b) & full).sum(-1) / np.maximum(n, 1))
+_MIX = np.random.default_rng(SEED).integers(0, 2**63, (BANDS * ROWS, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def bands(shingle: np.ndarray) -> np.ndarray:
+    """A hash of each band of min-hashes of a set; two sets share a band if all of its ROWS agree."""
+    import xxhash
+
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(shingle), 1 << 10):
+        x = shingle[None, i : i + (1 << 10)] * _MIX[:, :1]
+        x ^= x >> np.uint64(29)
+        x *= _MIX[:, 1:]
+        np.minimum(least, x.min(1), out=least)
+    return np.array([xxhash.xxh64_intdigest(least[i * ROWS : (i + 1) * ROWS].tobytes(), seed=i) for i in range(BANDS)], np.uint64).view(np.int64)
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Similarity of two sorted sets; two empty ones are equal."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
@@ -184,7 +195,7 @@ def _subtries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield rest
 
 
-def _join_subtries(batches: Iterator[pa.RecordBatch], budget: int, least: float | None) -> Iterator[pa.RecordBatch]:
+def _join_subtries(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.RecordBatch]:
     """For each group of rows with equal (mask, top): a star of links for each component."""
     for table in _subtries(batches):
         mask, top = (table.column(k).to_numpy() for k in ("mask", "top"))
@@ -196,28 +207,20 @@ def _join_subtries(batches: Iterator[pa.RecordBatch], budget: int, least: float
         fp = table.column("fp").to_numpy().view(np.uint64)
         rows = rows[np.lexsort((table.column("node").to_numpy()[rows], fp[rows], group[rows]))]
         fp, group, node = fp[rows], group[rows], table.column("node").to_numpy()[rows]
-        sketches = None if least is None else np.frombuffer(b"".join(table.column("sketch").take(pa.array(rows)).to_pylist()), np.uint8).reshape(-1, BINS)
         bounds = np.concatenate([np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])), [len(fp)]])
         forest = Forest(len(fp))
         for a, b in trie_links(fp, bounds, budget):
             for i in range(0, len(a), 1 << 15):
-                x, y = a[i : i + (1 << 15)], b[i : i + (1 << 15)]
-                if sketches is not None:
-                    open_ = forest.root[x] != forest.root[y]
-                    x, y = x[open_], y[open_]
-                    near = similarity(sketches[x], sketches[y]) >= least
-                    x, y = x[near], y[near]
-                forest.link(x, y)
+                forest.link(a[i : i + (1 << 15)], b[i : i + (1 << 15)])
         tied = np.flatnonzero(forest.root != np.arange(len(fp)))
         pairs = np.unique(np.stack([node[tied], node[forest.root[tied]]], 1), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
-def links(points: DataFrame, scratch: Scratch, budget: int, least: float | None = None) -> DataFrame:
+def links(points: DataFrame, scratch: Scratch, budget: int) -> DataFrame:
     """Links (a, b) between nodes that connect the same nodes as all links do.
 
-    points: distinct node, fp and, where ``least`` gives the similarity that a link needs, sketch.
-    A task hands on a star for each component that it sees, so at most a row a node and block.
+    points: distinct node and fp. A task hands on a star for each component that it sees, so at most a row a node and block.
     """
     spark, found = scratch.spark, None
     keyed = _keyed(points, _blocks(0, budget))
@@ -233,7 +236,7 @@ def links(points: DataFrame, scratch: Scratch, budget: int, least: float | None
             subs = spark.createDataFrame([(m, [_signed(x) for x in subs]) for m, subs in sorted(cuts.items())], "mask long, subs array<long>")
             again = keyed.join(side, ["mask", "top"], "left_semi").join(F.broadcast(subs), "mask").select(F.explode("subs").alias("mask"), *points.columns)
             deeper = again.select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("top"), *points.columns)
-        part = scratch.table(cold.repartition("mask", "top").sortWithinPartitions("mask", "top").mapInArrow(lambda it: _join_subtries(it, budget, least), "a long, b long"), "links")
+        part = scratch.table(cold.repartition("mask", "top").sortWithinPartitions("mask", "top").mapInArrow(lambda it: _join_subtries(it, budget), "a long, b long"), "links")
         found = part if found is None else found.unionAll(part)
         keyed = deeper
     return found
@@ -266,29 +269,85 @@ def fingerprint_digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def _sketched(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+def _node(shingle: np.ndarray) -> int:
+    import xxhash
+
+    return _signed(xxhash.xxh64_intdigest(shingle.tobytes(), seed=SEED))
+
+
+def _banded(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """doc_id, node (a hash of the shingle set), number of shingles, bands."""
     for batch in batches:
-        fps, marks = np.empty(batch.num_rows, np.uint64), []
+        nodes, sizes, keys = [], [], np.empty((batch.num_rows, BANDS), np.int64)
         for k, text in enumerate(batch.column("text")):
-            words = _words(text.as_py())
-            fps[k] = _majority(_hashes(list(set(words)), 1))
-            marks.append(sketch(words, n).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64)), pa.array(marks, pa.binary())], ["doc_id", "fp", "sketch"])
+            some = shingles(text.as_py(), n)
+            nodes.append(_node(some))
+            sizes.append(len(some))
+            keys[k] = bands(some)
+        listed = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), listed], ["doc_id", "node", "n", "keys"])
+
 
+def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, 512):
+            sets = [shingles(t.as_py(), n) for t in batch.column("text").slice(i, 512)]
+            yield pa.RecordBatch.from_arrays([pa.array(map(_node, sets), pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "grams"])
 
-def similar_groups(spark: SparkSession, docs: DataFrame, n: int = 5, least: float = 0.8, budget: int = 5) -> DataFrame:
+
+def _verified(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ends = zip(batch.column("x"), batch.column("y"), strict=True)
+        near = pa.array([jaccard(*(np.frombuffer(e.as_buffer(), np.uint64) for e in xy)) >= least for xy in ends], pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column("a").filter(near), batch.column("b").filter(near)], ["a", "b"])
+
+
+def _similar(pairs: DataFrame, each: DataFrame, docs: DataFrame, n: int, least: float, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) of nodes whose shingle sets have a Jaccard similarity of ``least`` or more.
+
+    Only texts of nodes in ``pairs`` are read again, one a node where it has an id.
+    """
+    needed = scratch.table(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "needed")
+    ids = each.join(needed, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("id")).select("id").distinct()
+    texts = _slim(docs).join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    sets = texts.mapInArrow(lambda it: _sets(it, n), "node long, grams binary").join(needed, "node", "left_semi").dropDuplicates(["node"])
+    sets = scratch.table(sets, "sets")
+    x = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    out = scratch.table(x.mapInArrow(lambda it: _verified(it, least), "a long, b long"), "similar")
+    scratch.drop(sets, needed)
+    return out
+
+
+def similar_groups(spark: SparkSession, docs: DataFrame, n: int = 5, least: float = 0.8) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, component_id (smallest doc_id of its group).
 
-    Candidates: SimHash fingerprints of a text's different words within ``budget`` bits, which texts
-    that share most shingles keep; a candidate pair is linked if its ``n``-word shingle sets have a Jaccard
-    similarity of ``least`` or more, by sketches of BINS min-hashes. Every different text goes into
-    the trie join, so no link of a group is lost. Nulls, empty texts and repeats as in near_duplicates.
+    Texts are linked if their ``n``-word shingle sets have a Jaccard similarity of ``least`` or more,
+    which is taken exactly for every candidate; groups are closed over links. Candidates share one
+    of BANDS bands of min-hashes. First the nodes of a band meet its smallest node; then all
+    pairs of a band that are not in one group yet. So a large group costs a pair a node, and no
+    link between groups is left out. Nulls, empty texts and repeats as in near_duplicates.
     """
     scratch = Scratch(spark, "similar")
-    marked = _slim(docs).mapInArrow(lambda it: _sketched(it, n), "doc_id long, fp long, sketch binary")
-    each = scratch.table(marked.select("doc_id", F.xxhash64("fp", "sketch").alias("node"), "fp", "sketch"), "sketches")
-    points = scratch.table(each.select("node", "fp", "sketch").dropDuplicates(["node"]), "points")
-    tied = components(links(points, scratch, budget, least), scratch)
+    each = scratch.table(_slim(docs).mapInArrow(lambda it: _banded(it, n), "doc_id long, node long, n long, keys array<long>"), "bands")
+    points = each.select("node", "n", "keys").dropDuplicates(["node"]).select("node", "n", F.posexplode("keys").alias("band", "key"))
+    met = points.groupBy("band", "key").agg(F.min(F.struct("node", "n")).alias("hub"), F.count("*").alias("many")).where("many > 1").select("band", "key", "hub")
+    held = scratch.table(points.join(met, ["band", "key"]), "held")
+    # Sets of sizes further apart can't be similar.
+    fits = lambda x, y: F.least(x, y) >= F.greatest(x, y) * (least - 1e-9)
+    star = held.where((F.col("node") != F.col("hub.node")) & fits(F.col("n"), F.col("hub.n")))
+    star = scratch.table(star.select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct(), "star")
+    near = _similar(star, each, docs, n, least, scratch)
+    tied = scratch.table(components(near, scratch), "tied")
+    owned = held.join(tied, "node", "left").select("band", "key", "node", "n", F.coalesce("root", "node").alias("root"))
+    mixed = owned.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band", "key")
+    owned = scratch.table(owned.join(mixed, ["band", "key"], "left_semi"), "mixed")
+    right = owned.withColumnsRenamed({"node": "b", "n": "nb", "root": "rb"})
+    open_ = owned.join(right, ["band", "key"]).where((F.col("node") < F.col("b")) & (F.col("root") != F.col("rb")) & fits(F.col("n"), F.col("nb")))
+    rest = scratch.table(open_.select(F.col("node").alias("a"), "b").distinct().join(star, ["a", "b"], "left_anti"), "rest")
+    if not rest.isEmpty():
+        near = near.unionAll(_similar(rest, each, docs, n, least, scratch))
+        tied = components(near, scratch)
+    scratch.drop(held, owned)
     owners = _owners(each.groupBy("node").agg(F.min("doc_id").alias("least")), tied, scratch)
     return each.select("doc_id", "node").join(owners, "node").select("doc_id", "component_id")
 

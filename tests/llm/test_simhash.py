@@ -108,3 +108,19 @@ def test_a_bridge_joins_what_it_links(spark, parts):
     for order in (rows, rows[::-1]):
         got = simhash.similar_groups(spark, documents(spark, order).repartition(parts) if parts > 1 else documents(spark, order).coalesce(1)).collect()
         assert {r.doc_id: r.component_id for r in got} == {d: d // 10 * 10 for d, _ in rows}
+
+
+def test_links_at_the_bound_are_exact_for_short_and_long_texts(spark):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    rows, want = [], {}
+    # Of n words the last k are others: n - 4 shingles, k of them in one text only.
+    for size, k in ((30, 1), (30, 2), (30, 3), (40, 3), (40, 4), (40, 5), (94, 10), (94, 11), (400, 44), (400, 45)):
+        for _ in range(20):
+            base = [word() for _ in range(size)]
+            d = len(rows)
+            rows += [(d, " ".join(base)), (d + 1, " ".join(base[:-k] + [word() for _ in range(k)]))]
+            want |= {d: d, d + 1: d if jaccard(rows[-2][1], rows[-1][1]) >= 0.8 else d + 1}
+    assert 100 < sum(c == d for d, c in want.items()) - 200 + 100 < 200
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark, documents(spark, rows)).collect()}
+    assert got == want
