@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-#: A candidate: a run of so many of these characters with a digit in it.
+#: A candidate: a run of these characters with a digit in it, of LEAST or more and any length.
 RUN = r"[A-Za-z0-9+/_\-]*[0-9][A-Za-z0-9+/_\-]*"
-LEAST, MOST = 8, 512
+LEAST, MOST = 8, (1 << 31) - 1
+_OTHER = r"[^A-Za-z0-9+/_\-]"
 _SPACE = r"[\x20\x09-\x0D]"
 #: A cheap test: texts without such a run are not split into words.
 _MAYBE = r"[A-Za-z0-9+/_\-]{8}"
@@ -47,26 +48,32 @@ def dictionary(docs: DataFrame) -> list[str]:
 def candidates(docs: DataFrame, known: list[str], path: str) -> DataFrame:
     """doc_id, start, value and FEATURES of every candidate in ``docs`` (doc_id, text, path).
 
-    A word is what stands between white space; its longest run is the candidate, the first of
-    equals. start: characters of the text before it.
+    A word is what stands between white space; each run in it is a candidate, however long. What
+    stands between it and the run before it in the word, or the word's start, is its head. start:
+    characters of the text before it.
     """
     text = F.col("text").cast("string")
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path")).where(text.rlike(_MAYBE) & text.rlike("[0-9]"))
     # The explode keeps the array of words a column, so it is split once a text.
     split = some.select("doc_id", "path", F.explode(F.array(F.split("text", _SPACE, -1))).alias("words"))
-    runs = lambda w: F.filter(F.regexp_extract_all(w, F.lit(RUN), F.lit(0)), lambda r: F.length(r).between(LEAST, MOST))
+    runs = lambda w: F.filter(F.regexp_extract_all(w, F.lit(RUN), F.lit(0)), lambda r: F.length(r) >= LEAST)
     at = F.transform("words", lambda w, i: F.when((F.length(w) >= LEAST) & w.rlike("[0-9]"), F.struct(i.alias("i"), runs(w).alias("runs"))))
     found = split.select("doc_id", "path", "words", F.explode(F.filter(at, lambda x: x.isNotNull() & (F.size(x["runs"]) > 0))).alias("c"))
     near = lambda k: F.coalesce(F.get("words", F.col("c.i") + k), F.lit(""))
-    value = F.aggregate("c.runs", F.lit(""), lambda a, r: F.when(F.length(r) > F.length(a), r).otherwise(a))
     before = F.aggregate(F.slice("words", 1, F.col("c.i")), F.lit(0).cast("long"), lambda a, w: a + F.length(w) + 1)
-    x = found.select("doc_id", "path", near(0).alias("word"), value.alias("value"), before.alias("before"), near(-1).alias("p1"), near(-2).alias("p2"), near(1).alias("n1"))
-    x = x.withColumn("cut", F.expr("instr(word, value)"))
+    x = found.select("doc_id", "path", near(0).alias("word"), before.alias("before"), near(-1).alias("p1"), near(-2).alias("p2"), near(1).alias("n1"))
+    # Every other character ends a piece, so a run is a piece and starts behind the pieces before it.
+    x = x.select("*", F.explode(F.array(F.split("word", _OTHER, -1))).alias("pieces"))
+    ends = lambda i: F.aggregate(F.slice("pieces", 1, i), F.lit(1), lambda a, w: a + F.length(w) + 1)
+    parts = F.transform("pieces", lambda w, i: F.when((F.length(w) >= LEAST) & w.rlike("[0-9]"), F.struct(w.alias("value"), ends(i).alias("cut"))))
+    x = x.select(*[c for c in x.columns if c != "pieces"], F.explode(F.array(F.filter(parts, lambda r: r.isNotNull()))).alias("all"))
+    x = x.select("*", F.posexplode("all").alias("k", "run")).withColumn("last", F.get("all", F.col("k") - 1))
+    x = x.select("*", F.col("run.value").alias("value"), F.col("run.cut").alias("cut"), F.coalesce(F.col("last.cut") + F.length("last.value"), F.lit(1)).alias("from"))
     count = lambda pattern: F.regexp_count("value", F.lit(pattern)).cast("double")
     size = F.length("value").cast("double")
     parts = F.filter(F.split(F.lower("value"), r"[^a-z]+"), lambda w: F.length(w) >= WORD)
     cover = F.aggregate(F.filter(parts, lambda w: F.array_contains(F.array(*map(F.lit, known)), w)) if known else F.array().cast("array<string>"), F.lit(0.0), lambda a, w: a + F.length(w))
-    head = F.expr("substr(word, 1, cut - 1)")
+    head = F.expr("substr(word, `from`, cut - `from`)")
     context = F.concat_ws(" ", "p2", "p1", head, "n1")
     flag = lambda c: c.cast("double")
     features = {
@@ -164,8 +171,7 @@ def scan(spark: SparkSession, docs: DataFrame, labelled: DataFrame | None = None
     start and length are characters of the text; the value itself is not handed on. labelled:
     findings (doc_id, start, label) to learn from; without it ``weak_label`` gives them. At most
     FIT_ROWS of them, by a hash of their place, are read to the driver. score is the forest's
-    mean, secret means 0.5 or more. Null and empty texts have no finding; nor has a run over MOST
-    characters. A null path is empty. Repeated rows give repeated findings. An empty table gives
+    mean, secret means 0.5 or more. Null and empty texts have no finding. A null path is empty. Repeated rows give repeated findings. An empty table gives
     none. No shuffle but for the dictionary's counts, which are summed before it.
     """
     scratch = Scratch(spark, "secrets")

@@ -63,3 +63,13 @@ def test_forest_expression_is_the_forest(spark):
     df = spark.createDataFrame(rows, ", ".join(f"{f} double" for f in secret_scan.FEATURES))
     for r in df.withColumn("s", secret_scan.forest_score(forest)).collect():
         assert abs(r.s - sum(value(t, r) for t in forest) / len(forest)) < 1e-9
+
+
+def test_every_run_of_a_word_and_long_runs_are_candidates(spark):
+    key, other, long = "AKIA" + "ABCD2345" * 2, "9f8e7d6c5b4a39281706", "Ab3/" * 400
+    texts = [f"x id={key};secret={other} y", f'{{"path":"/srv/data/2024/archive/of/many/files","k":"{key}"}}', f"ñ😀 user1234:{other}@host9999.example a7", f"key {long}", f"{other},{other}"]
+    got = secret_scan.candidates(documents(spark, list(enumerate(texts))), [], "source").collect()
+    want = {(i, m.start(), m[0]) for i, t in enumerate(texts) for m in re.finditer(secret_scan.RUN, t) if len(m[0]) >= secret_scan.LEAST}
+    assert len(got) == len(want) == 10
+    assert {(r.doc_id, r.start, r.value) for r in got} == want
+    assert {(r.doc_id, r.start): r.keyword_near for r in got if r.doc_id == 0} == {(0, texts[0].index(key)): 0.0, (0, texts[0].index(other)): 1.0}
