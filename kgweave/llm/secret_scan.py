@@ -33,7 +33,7 @@ LABELLED = (r"^AKIA[0-9A-Z]{16}$", r"^gh[pousr]_[A-Za-z0-9]{36}$", r"^sk-[A-Za-z
 
 #: Frequent words that make up the dictionary; shorter ones are none.
 DICTIONARY, WORD = 2000, 3
-#: Labelled findings a forest is grown from, at most, by a hash of their place; its size.
+#: Labelled findings of each class a forest is grown from, at most, by a hash of their place; its size.
 FIT_ROWS, TREES, DEPTH, LEAF, SEED = 6000, 16, 6, 5, 11
 
 FEATURES = ("length", "digits", "upper", "lower", "symbols", "turns_lower_digit", "turns_upper_digit", "turns_case", "hex_only", "digits_only", "covered", "assigned", "quoted", "keyword_near", "decoy_near", "path_decoy", "at_sign", "dots")
@@ -115,11 +115,16 @@ def _gini(pos: float, n: float) -> float:
     return 2 * p * (1 - p) * n
 
 
-def _grow(rows: list[tuple], labels: list[int], rng: random.Random, depth: int):
-    """A tree: a share of label 1, or (feature, cut, below or equal, above)."""
+def _grow(rows: list[tuple], labels: list[int], rng: random.Random, depth: int, weights: tuple[float, float]):
+    """A tree: a share of label 1, or (feature, cut, below or equal, above). weights: of labels 0 and 1."""
     n, pos = len(rows), sum(labels)
+
+    def weighed(ones: int, of: int) -> tuple[float, float]:
+        return ones * weights[1], ones * weights[1] + (of - ones) * weights[0]
+
+    share = (weighed(pos, n)[0] + 0.5) / (weighed(pos, n)[1] + 1)
     if depth == 0 or n < 2 * LEAF or pos in (0, n):
-        return (pos + 0.5) / (n + 1)
+        return share
     best = None
     for f in rng.sample(range(len(FEATURES)), max(1, round(len(FEATURES) ** 0.5))):
         order = sorted(range(n), key=lambda i: rows[i][f])
@@ -128,25 +133,25 @@ def _grow(rows: list[tuple], labels: list[int], rng: random.Random, depth: int):
             left += labels[i]
             a, b = rows[i][f], rows[order[k]][f]
             if a < b and LEAF <= k <= n - LEAF:
-                cost = _gini(left, k) + _gini(pos - left, n - k)
+                cost = _gini(*weighed(left, k)) + _gini(*weighed(pos - left, n - k))
                 if best is None or cost < best[0]:
                     best = (cost, f, (a + b) / 2)
     if best is None:
-        return (pos + 0.5) / (n + 1)
+        return share
     _, f, cut = best
     sides = [[i for i in range(n) if (rows[i][f] <= cut) == low] for low in (True, False)]
-    return (f, cut, *(_grow([rows[i] for i in s], [labels[i] for i in s], rng, depth - 1) for s in sides))
+    return (f, cut, *(_grow([rows[i] for i in s], [labels[i] for i in s], rng, depth - 1, weights) for s in sides))
 
 
-def grow_forest(rows: list[tuple], labels: list[int]) -> list:
-    """TREES trees on bootstrap samples; a forest without rows says a half."""
+def grow_forest(rows: list[tuple], labels: list[int], weights: tuple[float, float] = (1.0, 1.0)) -> list:
+    """TREES trees on bootstrap samples, with a weight for either label; a forest without rows says a half."""
     rng = random.Random(SEED)
     if not rows:
         return [0.5]
     out = []
     for _ in range(TREES):
         pick = [rng.randrange(len(rows)) for _ in rows]
-        out.append(_grow([rows[i] for i in pick], [labels[i] for i in pick], rng, DEPTH))
+        out.append(_grow([rows[i] for i in pick], [labels[i] for i in pick], rng, DEPTH, weights))
     return out
 
 
@@ -170,7 +175,8 @@ def scan(spark: SparkSession, docs: DataFrame, labelled: DataFrame | None = None
 
     start and length are characters of the text; the value itself is not handed on. labelled:
     findings (doc_id, start, label) to learn from; without it ``weak_label`` gives them. At most
-    FIT_ROWS of them, by a hash of their place, are read to the driver. score is the forest's
+    FIT_ROWS of each label, by a hash of their place, are read to the driver, and are weighed by
+    how many there are of it. score is the forest's
     mean, secret means 0.5 or more. Null and empty texts have no finding. A null path is empty. Repeated rows give repeated findings. An empty table gives
     none. No shuffle but for the dictionary's counts, which are summed before it.
     """
@@ -181,7 +187,10 @@ def scan(spark: SparkSession, docs: DataFrame, labelled: DataFrame | None = None
     else:
         known = found.join(labelled.select("doc_id", "start", F.col("label").cast("int").alias("label")), ["doc_id", "start"])
     place = F.xxhash64("doc_id", "start", "value")
-    sample = known.where("label is not null").orderBy(place, "doc_id", "start").limit(FIT_ROWS).select("label", *FEATURES).collect()
-    forest = grow_forest([tuple(r[k] for k in FEATURES) for r in sample], [r.label for r in sample])
+    totals = {r.label: r.n for r in known.where("label is not null").groupBy("label").agg(F.count("*").alias("n")).collect()}
+    # Secrets are rare: each class is sampled by itself and weighs what it has in all.
+    sample = [r for c in (0, 1) for r in known.where(F.col("label") == c).orderBy(place, "doc_id", "start").limit(FIT_ROWS).select("label", *FEATURES).collect()]
+    weights = tuple(max(1.0, totals.get(c, 0) / FIT_ROWS) for c in (0, 1))
+    forest = grow_forest([tuple(r[k] for k in FEATURES) for r in sample], [r.label for r in sample], weights)
     score = forest_score(forest)
     return found.select("doc_id", "start", F.length("value").cast("long").alias("length"), F.md5("value").alias("value_md5"), score.alias("score")).withColumn("secret", F.col("score") >= 0.5)

@@ -73,3 +73,12 @@ def test_every_run_of_a_word_and_long_runs_are_candidates(spark):
     assert len(got) == len(want) == 10
     assert {(r.doc_id, r.start, r.value) for r in got} == want
     assert {(r.doc_id, r.start): r.keyword_near for r in got if r.doc_id == 0} == {(0, texts[0].index(key)): 0.0, (0, texts[0].index(other)): 1.0}
+
+
+def test_rare_secrets_are_in_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(secret_scan, "FIT_ROWS", 100)
+    rng = random.Random(6)
+    rows = [(i, f"number {rng.randrange(10**15, 10**16)} there") for i in range(4000)]
+    keys = [(5000 + i, "then AKIA" + "".join(rng.choice("ABCDEFGHJK234567") for _ in range(15)) + "7 there") for i in range(12)]
+    found = secret_scan.scan(spark, documents(spark, rows + keys)).where("secret").collect()
+    assert sorted(r.doc_id for r in found) == [d for d, _ in keys]
