@@ -53,11 +53,13 @@ def targets(sizes: DataFrame, weights: tuple, share: float, ceiling: int) -> Dat
 
 
 def thresholds(slim: DataFrame, goals: DataFrame, scratch: Scratch) -> DataFrame:
-    """source, source_size, target, base, below: a document is taken base times, and once more if
-    its hash is less than ``below``. slim: source, size, h."""
+    """source, source_size, target, base, budget, below, at, copies: a document is taken base times,
+    and once more if its hash is less than ``below``. ``at`` words lie below it; ``copies`` rows have
+    the hash itself, of which as many as the budget has room for. slim: source, size, h."""
     base = (F.col("target") >= F.col("source_size")).cast("int")
     state = goals.select("source", "source_size", "target", base.alias("base"), (F.col("target") - base * F.col("source_size")).alias("budget"))
-    state = scratch.table(state.select("*", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("cum"), F.lit(None).cast("long").alias("below")), "targets")
+    none = F.lit(None).cast("long")
+    state = scratch.table(state.select("*", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("cum"), none.alias("below"), none.cast("double").alias("at"), F.lit(1).cast("long").alias("copies")), "targets")
     left = HASH_BITS
     while left:
         open_ = state.where("below is null")
@@ -66,24 +68,58 @@ def thresholds(slim: DataFrame, goals: DataFrame, scratch: Scratch) -> DataFrame
         shift = left - BUCKET_BITS
         at = small(open_.select(F.col("source").alias("s"), "prefix"))
         rows = slim.join(at, slim.source.eqNullSafe(F.col("s")) & (F.shiftright("h", left) == F.col("prefix")))
-        hist = rows.groupBy("source", F.shiftright("h", shift).alias("bucket")).agg(F.sum("size").alias("n"), F.min("h").alias("low"), F.max("h").alias("high"))
+        hist = rows.groupBy("source", F.shiftright("h", shift).alias("bucket")).agg(F.sum("size").alias("n"), F.count("*").alias("rows"), F.min("h").alias("low"), F.max("h").alias("high"))
         upto = Window.partitionBy("source").orderBy("bucket")
-        hist = hist.select("source", "bucket", "n", "low", "high", (F.sum("n").over(upto) - F.col("n")).alias("ahead"))
+        hist = hist.select("source", "bucket", "n", "rows", "low", "high", (F.sum("n").over(upto) - F.col("n")).alias("ahead"))
         x = hist.join(small(open_.select(F.col("source").alias("s"), "budget", "cum")), F.col("source").eqNullSafe(F.col("s")))
         x = x.withColumn("start", F.col("cum") + F.col("ahead"))
         # The budget ends in this bucket.
         ends = x.where("start < budget and start + n > budget")
-        half = F.when(2 * F.col("start") + F.col("n") < 2 * F.col("budget"), F.col("low") + 1).otherwise(F.col("low"))
-        ends = ends.select(F.col("source").alias("s"), F.struct(F.col("bucket").alias("prefix"), F.col("start").alias("cum"), F.when((F.col("low") == F.col("high")) | F.lit(shift == 0), half).alias("below")).alias("next"))
+        single = F.col("low") == F.col("high")
+        ends = ends.select(F.col("source").alias("s"), F.struct(F.col("bucket").alias("prefix"), F.col("start").alias("cum"), F.when(single, F.col("low")).alias("below"), "rows").alias("next"))
         # No bucket holds the end: it is between two, and what starts before it is taken.
         edge = x.groupBy(F.col("source").alias("e")).agg(F.max(F.when(F.col("start") < F.col("budget"), F.col("high") + 1)).alias("edge"))
         nxt = state.join(small(ends), state.source.eqNullSafe(F.col("s")), "left").join(small(edge), state.source.eqNullSafe(F.col("e")), "left")
-        done = F.coalesce("below", F.when(F.col("next").isNull(), F.coalesce("edge", F.lit(0).cast("long"))).otherwise(F.col("next.below")))
+        open_now, between = F.col("below").isNull(), F.col("next").isNull()
         state = scratch.table(
-            nxt.select("source", "source_size", "target", "base", "budget", F.coalesce("next.prefix", "prefix").alias("prefix"), F.coalesce("next.cum", "cum").alias("cum"), done.alias("below")), "state"
+            nxt.select(
+                *("source", "source_size", "target", "base", "budget"),
+                F.coalesce("next.prefix", "prefix").alias("prefix"),
+                F.coalesce("next.cum", "cum").alias("cum"),
+                F.when(~open_now, F.col("below")).when(between, F.coalesce("edge", F.lit(0).cast("long"))).otherwise(F.col("next.below")).alias("below"),
+                F.when(~open_now, F.col("at")).when(between, F.col("budget")).when(F.col("next.below").isNotNull(), F.col("next.cum").cast("double")).alias("at"),
+                F.when(open_now & F.col("next.below").isNotNull(), F.col("next.rows")).otherwise(F.col("copies")).alias("copies"),
+            ),
+            "state",
         )
         left = shift
-    return state.select("source", "source_size", "target", "base", "below")
+    return state.select("source", "source_size", "target", "base", "budget", "below", "at", "copies")
+
+
+def _times(rows: DataFrame, cut: DataFrame, scratch: Scratch) -> DataFrame:
+    """``rows`` (source, size, h, ...) with what ``cut`` says of their source, and ``times`` taken.
+
+    Rows that share a source's boundary hash are numbered: by themselves within the task that reads
+    them, and by the rows of the tasks before it. So a row that fills a third of the table is no
+    window of one task.
+    """
+    cut = cut.withColumnRenamed("source", "_s")
+    x = rows.join(small(cut), rows.source.eqNullSafe(F.col("_s"))).drop("_s")
+
+    def times(number: Column) -> Column:
+        room = 2 * (F.col("at") + (number - 1) * F.col("size")) + F.col("size") < 2 * F.col("budget")
+        return (F.col("base") + ((F.col("h") < F.col("below")) | ((F.col("h") == F.col("below")) & room)).cast("int")).alias("times")
+
+    if cut.where("copies > 1").isEmpty():
+        return x.select("*", times(F.lit(1)))
+    shared = (F.col("h") == F.col("below")) & (F.col("copies") > 1)
+    some = scratch.table(x.where(shared).withColumn("_part", F.spark_partition_id()), "shared")
+    own = F.row_number().over(Window.partitionBy("source", "_part").orderBy("h"))
+    sums = some.groupBy("source", "_part").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("source").orderBy("_part")) - F.col("_n")
+    sums = sums.select(F.col("source").alias("_s"), F.col("_part").alias("_p"), before.alias("_before"))
+    numbered = some.withColumn("_own", own).join(small(sums), F.col("source").eqNullSafe(F.col("_s")) & (F.col("_part") == F.col("_p")))
+    return x.where(~shared).select("*", times(F.lit(1))).unionAll(numbered.select(*x.columns, times(F.col("_own") + F.col("_before"))))
 
 
 def _plan(docs: DataFrame, scratch: Scratch, weights: tuple, share: float, ceiling: int) -> tuple[DataFrame, DataFrame]:
@@ -98,19 +134,26 @@ def mix_plan(spark: SparkSession, docs: DataFrame, weights: tuple = WEIGHTS, sha
     size counts words (null or empty text: 0). Sources, by code point with null last, take
     ``weights`` in turn and share ``share`` times all sizes; targets stop at ``ceiling`` (2) times
     their source. taken is 0, size or twice size: whole documents by hash threshold, so a source
-    misses its target by half a document at most. Rows that agree in doc_id and text share a hash
-    and are taken or left together. Reruns agree. An empty table gives no row.
+    misses its target by half a document at most. Rows that agree in doc_id and text share a hash;
+    where the budget ends among them, as many as it has room for are taken. Reruns agree. An empty
+    table gives no row.
     """
-    slim, cut = _plan(docs, Scratch(spark, "mixing"), weights, share, ceiling)
-    x = slim.join(small(cut.withColumnRenamed("source", "s")), slim.source.eqNullSafe(F.col("s")))
-    return x.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("base") + (F.col("h") < F.col("below")).cast("int"))).alias("taken"))
+    scratch = Scratch(spark, "mixing")
+    slim, cut = _plan(docs, scratch, weights, share, ceiling)
+    return _times(slim, cut, scratch).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, ceiling: int = CEILING) -> DataFrame:
     """The mix itself: rows of ``docs``, those taken twice two times; documents without words once
-    or twice like their neighbours. The documents are filtered where they are read, not sorted."""
-    _, cut = _plan(docs, Scratch(spark, "mixing"), weights, share, ceiling)
-    rows = packed(docs).select("_row", F.col("_row.source").cast("string").alias("source"), place(F.col("_row.doc_id"), F.col("_row.text").cast("string")).alias("h"))
-    x = rows.join(small(cut.withColumnRenamed("source", "s")), rows.source.eqNullSafe(F.col("s")))
-    x = x.select("_row", F.explode(F.sequence(F.lit(1), F.lit(2))).alias("copy"), (F.col("base") + (F.col("h") < F.col("below")).cast("int")).alias("copies"))
-    return unpacked(x.where("copy <= copies"), docs)
+    or twice like their neighbours. The documents are filtered where they are read, not sorted.
+
+    Nulls and repeated rows as in ``mix_plan``; of rows that agree in doc_id and text but differ
+    in other columns, which are taken follows the order in which they are read. An empty table
+    gives no row. Columns of any name pass as they are.
+    """
+    scratch = Scratch(spark, "mixing")
+    _, cut = _plan(docs, scratch, weights, share, ceiling)
+    text = F.col("_row.text").cast("string")
+    rows = packed(docs).select("_row", F.col("_row.source").cast("string").alias("source"), words(text).alias("size"), place(F.col("_row.doc_id"), text).alias("h"))
+    x = _times(rows, cut, scratch).select("_row", F.explode(F.sequence(F.lit(1), F.lit(2))).alias("copy"), "times")
+    return unpacked(x.where("copy <= times"), docs)

@@ -109,10 +109,11 @@ t AS (SELECT source, source_size, least("full", coalesce(level * w, "full")) AS
 b AS (SELECT *, CASE WHEN target >= source_size THEN 1 ELSE 0 END AS base FROM t),
 g AS (SELECT source, h, sum(size) AS n FROM d GROUP BY source, h),
 c AS (SELECT source, h, n, sum(n) OVER (PARTITION BY source ORDER BY h) - n AS start FROM g),
+r AS (SELECT *, row_number() OVER (PARTITION BY source, h ORDER BY doc_id) AS k FROM d),
 mixed AS (
   SELECT d.doc_id, CAST(d.size AS BIGINT) AS size, b.source_size, b.target,
-    CAST(d.size * (b.base + CASE WHEN 2 * c.start + c.n < 2 * (b.target - b.base * b.source_size) THEN 1 ELSE 0 END) AS BIGINT) AS taken
-  FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source JOIN c ON d.source IS NOT DISTINCT FROM c.source AND d.h = c.h)
+    CAST(d.size * (b.base + CASE WHEN 2 * (c.start + (d.k - 1) * d.size) + d.size < 2 * (b.target - b.base * b.source_size) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+  FROM r AS d JOIN b ON d.source IS NOT DISTINCT FROM b.source JOIN c ON d.source IS NOT DISTINCT FROM c.source AND d.h = c.h)
 """
 OP4_SQL = "WITH " + MIX_SQL.format(docs="documents") + " SELECT * FROM mixed"
 

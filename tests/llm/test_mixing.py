@@ -27,14 +27,9 @@ def brute(rows):
     for s in names:
         base = int(target[s] >= total[s])
         budget, start = target[s] - base * total[s], 0
-        sums = {}
-        for h, z, _ in by[s]:
-            sums[h] = sums.get(h, 0) + z
-        take = {}
-        for h in sorted(sums):
-            take[h] = 2 * start + sums[h] < 2 * budget
-            start += sums[h]
-        out += [(d, z, total[s], round(target[s], 6), z * (base + take[h])) for h, z, d in by[s]]
+        for _, z, d in sorted(by[s], key=lambda r: r[0]):
+            out.append((d, z, total[s], round(target[s], 6), z * (base + (2 * start + z < 2 * budget))))
+            start += z
     return sorted(out, key=str)
 
 
@@ -51,6 +46,26 @@ def test_against_brute_force(spark):
     assert run(spark, rows) == run(spark, rows)
 
 
+def test_repeated_rows_meet_the_target(spark):
+    # One row 150 times in a source: the budget ends among its copies.
+    rows = [(1, "w " * 10, "a")] * 150 + [(i, "w " * 10, "a") for i in range(2, 22)] + [(i, "v " * 7, "b") for i in range(100, 160)] + [(9, "x y", None)] * 30
+    got = run(spark, rows)
+    assert got == brute(rows)
+    for size in {r[2] for r in got}:
+        of = [r for r in got if r[2] == size]
+        assert abs(sum(r[4] for r in of) - of[0][3]) <= 5
+    out = mixing.mix(spark, documents(spark, rows))
+    assert out.count() == sum(r[4] // r[1] for r in got)
+
+
+def test_mix_of_odd_rows(spark):
+    rows = [(d, t[:300] if t else t, s) for (d, t), s in zip(ODD, ["a", None, "a", "b", "b", None, None, "c"], strict=True)]
+    docs = documents(spark, rows)
+    plan = mixing.mix_plan(spark, docs).where("size > 0")
+    assert mixing.mix(spark, docs).where("trim(text) <> ''").where("text rlike '[^ \\t\\n]'").count() == plan.selectExpr("sum(taken div size)").first()[0]
+    assert mixing.mix(spark, docs.limit(0)).columns == docs.columns and mixing.mix(spark, docs.limit(0)).isEmpty()
+
+
 def test_one_source_ties_and_empty(spark):
     rows = [(7, "a b c", "s")] * 5 + [(8, "d e", "s")]
     assert run(spark, rows) == brute(rows)
