@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, small
 
 MAGIC, CHUNK = b"DAC1", 8
 #: Bits of bitmap between two entries of a rank directory.
@@ -35,7 +35,6 @@ KNOWN_WORDS = 1 << 19
 END_ID = 0
 
 _ENCODERS: dict = {}
-_DOUBLE = re.compile(r"\s\s")
 _MARKS = ".,;:!?"
 
 
@@ -117,13 +116,14 @@ def open_segment(blob: bytes) -> tuple[list[int | None], np.ndarray, Levels]:
 
 
 class Encoder:
-    """The tokenizer at ``path``; special tokens in a text are ordinary text.
+    """The tokenizer at ``path``, as the library applies it: a special token's own text is that token.
 
     Byte-level BPE cuts a text into pieces before it merges, and a lone line feed, or a space
     between two other characters, always starts a piece. So the ids of a text without double white
     space are those of its words, with the space before them, and of its line feeds; and those of
     a word that ends in marks after a letter or digit are those of the word and of the marks.
-    Words' ids are kept as bytes; texts with double white space are encoded whole.
+    Words' ids are kept as bytes; texts with double white space, or with the text of an added token
+    in them, are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -131,7 +131,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.apart = re.compile("|".join([r"\s\s", *map(re.escape, added)]))
         self.feed = self.whole(["\n"])[0]
         (self.feed_id,) = np.frombuffer(self.feed, np.uint32)
         #: Ids of words as they are, and of words after a space.
@@ -175,7 +176,7 @@ class Encoder:
 
     def ids(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """Ids of each text; new words of all of them are encoded together."""
-        split = [None if not t or _DOUBLE.search(t) else [x.split(" ") for x in t.split("\n")] for t in texts]
+        split = [None if not t or self.apart.search(t) else [x.split(" ") for x in t.split("\n")] for t in texts]
         bare, spaced = set(), set()
         for lines in split:
             for first, *rest in lines or ():
@@ -234,7 +235,8 @@ def write_ids(spark: SparkSession, docs: DataFrame, tokenizer: str, path: str) -
 
     One shuffle, by ranges of doc_id; texts are encoded in order after it, a segment at a time. A
     null text is empty: it has the end id alone. A null doc_id comes first. Rows with equal doc_id
-    go by their text. An empty table writes no segment.
+    go by their text. An empty table writes no segment. A document lies in one segment, which is a
+    value of under 2 GB: ids of texts of some 600 MB and more may not fit, and the write fails.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     tie = F.xxhash64("text")
@@ -254,13 +256,14 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def segments(spark: SparkSession, path: str) -> DataFrame:
     """The segments under ``path`` with ``base``: ids in all parts before theirs.
 
-    One row a part is summed up over all parts; a part is one task of the writer.
+    A part is one task of the writer. One row a part is summed up over all parts, so there are as
+    many as the writer had tasks, whatever they held; they go out by broadcast if they are few.
     """
     schema = "part int, segment long, part_start long, n_docs long, n_ids long, codes binary"
     found = spark.read.schema(schema).parquet(path)
     parts = found.groupBy("part").agg(F.sum("n_ids").alias("n"))
     base = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
-    return found.join(F.broadcast(base), "part")
+    return found.join(small(base), "part")
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:

@@ -14,10 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, small
 from .token_codes import encoded
 
 KEYS = ("source", "lang", "tokenizer")
+#: Rows of a text beyond which they meet its first id by broadcast.
+HOT = 100_000
 SUMS = "source string, lang string, tokenizer string, documents long, tokens long"
 
 
@@ -105,27 +107,53 @@ class Rollup:
         return out.where("documents <> 0 or tokens <> 0")
 
 
+def _first_ids(rows: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, t, ...) with ``first``: the smallest doc_id of their t, null if it has one row.
+
+    A t of over HOT rows meets its id by a broadcast of such, so no task gets all of its rows.
+    """
+    groups = rows.groupBy("t").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    hot = groups.where(F.col("n") > HOT).select(F.col("t").alias("_t"), F.col("first").alias("_hot"))
+    x = rows.join(small(hot), F.col("t") == F.col("_t"), "left").drop("_t")
+    rest = groups.where(F.col("n") <= HOT).select(F.col("t").alias("_t"), "first")
+    cold = x.where("_hot is null").join(small(rest), F.col("t") == F.col("_t"), "left").select(*rows.columns, "first")
+    return x.where("_hot is not null").select(*rows.columns, F.col("_hot").alias("first")).unionAll(cold)
+
+
 def maintained_counts(spark: SparkSession, docs: DataFrame, tokenizer: str) -> DataFrame:
     """Totals of ``docs`` (doc_id, text, source, lang) after a history of batches:
 
     all documents by words; all by the tokenizer file; the first batch a second time, which adds
-    nothing; deletion of every exact copy of a text that a smaller doc_id has, under both
-    versions; revision of the word counts to version words-2, which counts line feeds too.
+    nothing; deletion of every row whose text a smaller doc_id has, under both versions; revision
+    of the word counts to version words-2, which counts line feeds too.
+
+    A null text is an empty one. A row with a null doc_id is never deleted, nor are rows that agree
+    in doc_id and text. Null sources and languages are keys. An empty table has no totals. Texts are
+    read once; what follows reads their counts and a hash of them.
     """
     scratch = Scratch(spark, "rollup")
     rollup = Rollup(spark, scratch.path("totals"))
-    bpe = scratch.table(count_tokens(docs, "byte_bpe_50k", tokenizer), "bpe")
-    words = count_tokens(docs, "words-1")
-    rollup.commit("load/words-1", inserts(words))
-    rollup.commit("load/byte_bpe_50k", inserts(bpe))
-    rollup.commit("load/words-1", inserts(words))
-    # Copies: a text's smallest id stays. Rows are keyed by a hash of the text, not by the text.
-    keyed = scratch.table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("t")), "texts")
-    first = keyed.groupBy("t").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    gone = scratch.table(keyed.join(first, "t").where("doc_id > first").select(F.col("doc_id").alias("gone")).distinct(), "copies")
-    dead = words.unionByName(bpe)
-    rollup.commit("dedup/1", deletes(dead.join(gone, dead.doc_id == gone.gone, "left_semi")))
-    alive = words.join(gone, words.doc_id == gone.gone, "left_anti")
-    ends = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.lit("words-2").alias("tokenizer"), F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(r"\n|[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("tokens"))
-    rollup.commit("revise/words-2", revisions(alive, ends.join(gone, ends.doc_id == gone.gone, "left_anti")))
+    text = F.col("text").cast("string")
+    number = lambda pattern: F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0)).cast("long")
+    keep = ["doc_id", "source", "lang", "t", "w1", "w2"]
+    slim = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        *(F.col(c).cast("string").alias(c) for c in ("source", "lang")),
+        F.unhex(F.md5(F.coalesce(text, F.lit("")))).alias("t"),
+        number(r"[^\x20\x09-\x0D]+").alias("w1"),
+        number(r"\n|[^\x20\x09-\x0D]+").alias("w2"),
+        text.alias("text"),
+    )
+    each = scratch.table(slim.mapInArrow(lambda it: _bpe(it, tokenizer, keep), "doc_id long, source string, lang string, t binary, w1 long, w2 long, tokens long"), "counts")
+    each = scratch.table(_first_ids(each).withColumn("dead", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))).drop("t", "first"), "copies")
+
+    def of(rows: DataFrame, version: str, count: str) -> DataFrame:
+        return rows.select("source", "lang", F.lit(version).alias("tokenizer"), F.col(count).alias("tokens"))
+
+    rollup.commit("load/words-1", inserts(of(each, "words-1", "w1")))
+    rollup.commit("load/byte_bpe_50k", inserts(of(each, "byte_bpe_50k", "tokens")))
+    rollup.commit("load/words-1", inserts(of(each, "words-1", "w1")))
+    dead, alive = each.where("dead"), each.where("not dead")
+    rollup.commit("dedup/1", deletes(of(dead, "words-1", "w1").unionByName(of(dead, "byte_bpe_50k", "tokens"))))
+    rollup.commit("revise/words-2", revisions(of(alive, "words-1", "w1"), of(alive, "words-2", "w2")))
     return rollup.totals()
