@@ -2,59 +2,10 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in tests.
-LOCAL_SCRATCH = "file:///tmp/checkpoints/kgweave"
-#: A join side with at most this many narrow rows may be broadcast; larger ones are shuffled.
-BROADCAST_ROWS = 200_000
-
-
-class Scratch:
-    """Tables written under ``spark.checkpoint.dir``: they cut lineage and outlive lost executors.
-
-    ``table`` writes a frame as Parquet and returns a reader of it, so nothing above is computed
-    twice. ``drop`` removes tables that nothing reads any more. What is left goes at exit.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        root = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH
-        self.root = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-        self.n = 0
-        atexit.register(self._remove, self.root)
-
-    def path(self, tag: str) -> str:
-        self.n += 1
-        return f"{self.root}/{self.n:03d}-{tag}"
-
-    def table(self, df: DataFrame, tag: str) -> DataFrame:
-        path = self.path(tag)
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._scratch_path = path
-        return out
-
-    def drop(self, *frames: DataFrame) -> None:
-        for df in frames:
-            self._remove(df._scratch_path)
-
-    def _remove(self, path: str) -> None:
-        try:
-            jvm = self.spark._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session may be gone at exit; the folder is scratch
-            pass
-
-
-def small(df: DataFrame) -> DataFrame:
-    """``df`` marked for broadcast if it has at most BROADCAST_ROWS rows (counted), else as it is."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+from kgweave.plans.scratch import Scratch, small  # noqa: F401  the operators take them from here
 
 
 def packed(docs: DataFrame) -> DataFrame:

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, packed, small, unpacked
 
 LINES = 3
+#: Windows in a batch on their way from Python.
+WINDOWS = 1 << 14
 
 
 def _text_key(text: Column) -> Column:
@@ -28,20 +30,30 @@ def _windows(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBat
     """A row for each window of each text: its line and a 128-bit hash of its lines."""
     import xxhash
 
+    at, line, window = [], [], []
+
+    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+        take = pa.array(at, pa.int64())
+        out = pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("key").take(take), pa.array(line, pa.int32()), pa.array(window, pa.binary())], ["doc_id", "key", "line", "window"])
+        for some in (at, line, window):
+            some.clear()
+        return out
+
     for batch in batches:
-        at, line, window = [], [], []
         for k, text in enumerate(batch.column("text")):
             lines = (text.as_py() or "").encode("utf-8", "surrogatepass").split(b"\n")
             for i in range(len(lines) - n + 1):
                 at.append(k)
                 line.append(i)
                 window.append(xxhash.xxh3_128_digest(b"\n".join(lines[i : i + n])))
-        rows = pa.array(at, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), batch.column("key").take(rows), pa.array(line, pa.int32()), pa.array(window, pa.binary())], ["doc_id", "key", "line", "window"])
+                if len(at) == WINDOWS:
+                    yield rows(batch)
+        yield rows(batch)
 
 
 def covered(docs: DataFrame, scratch: Scratch, n: int = LINES) -> DataFrame:
-    """doc_id, key, gone: positions (from 0) of the lines to remove, for documents that have some.
+    """doc_id, key, gone: ranges (from, to; from 0, both included) of the lines to remove, for
+    documents that have some. Covered positions are merged, so a long passage is one range.
 
     docs: doc_id, text. The first occurrence of each window is found by a partial aggregate, so a
     window of very many documents is no hot key; occurrences then meet the repeated windows in a
@@ -54,22 +66,31 @@ def covered(docs: DataFrame, scratch: Scratch, n: int = LINES) -> DataFrame:
     repeated = each.groupBy("window").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first <> last")
     repeated = scratch.table(repeated.select("window", "first"), "repeated")
     later = each.join(small(repeated), "window").where(~at.eqNullSafe(F.col("first")))
-    lines = later.select("doc_id", "key", F.explode(F.sequence("line", F.col("line") + n - 1)).alias("line")).distinct()
-    return scratch.table(lines.groupBy("doc_id", "key").agg(F.collect_list("line").alias("gone")), "gone")
+    found = later.groupBy("doc_id", "key").agg(F.sort_array(F.collect_set("line")).alias("lines"))
+    # A window begins a range unless another begins within the n lines before it; likewise at its end.
+    first = lambda x, i: (i == 0) | (x - F.get("lines", i - 1) > n)
+    last = lambda x, i: (i == F.size("lines") - 1) | (F.get("lines", i + 1) - x > n)
+    gone = F.arrays_zip(F.filter("lines", first).alias("a"), F.transform(F.filter("lines", last), lambda x: x + (n - 1)).alias("z"))
+    return scratch.table(found.select("doc_id", "key", gone.alias("gone")), "gone")
 
 
-def _cut(text: str | None, gone: list[int] | None) -> str | None:
+def _cut(text: str | None, gone: list[dict] | None) -> tuple[str | None, int]:
+    """The text without its lines in the ranges, and how many those are."""
     if not gone:
-        return text
-    drop = set(gone)
-    return "\n".join(x for i, x in enumerate(text.split("\n")) if i not in drop)
+        return text, 0
+    lines = text.split("\n")
+    ends = [-1, *(r["z"] for r in gone)]
+    starts = [*(r["a"] for r in gone), len(lines)]
+    kept = [x for end, start in zip(ends, starts, strict=True) for x in lines[end + 1 : start]]
+    return "\n".join(kept), len(lines) - len(kept)
 
 
 def _joined(spark: SparkSession, docs: DataFrame, n: int) -> DataFrame:
     """_row, doc_id, text and gone (null where nothing goes) of every row of ``docs``."""
     gone = covered(docs, Scratch(spark, "lines"), n).withColumnsRenamed({"doc_id": "_id", "key": "_key"})
     rows = packed(docs).withColumns({"doc_id": F.col("_row.doc_id").cast("long"), "text": F.col("_row.text").cast("string")})
-    return rows.join(small(gone), rows.doc_id.eqNullSafe(F.col("_id")) & (_text_key(rows.text) == F.col("_key")), "left")
+    # A document's ranges take 16 bytes and 8 for each; beyond a bound on all of them the join shuffles.
+    return rows.join(small(gone, 16 + 8 * F.size("gone")), rows.doc_id.eqNullSafe(F.col("_id")) & (_text_key(rows.text) == F.col("_key")), "left")
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, n: int = LINES) -> DataFrame:
@@ -77,12 +98,13 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, n: int = LINES) -> DataFra
 
     A text with fewer lines than a window, an empty or a null text stays as it is. A text whose
     lines all go is empty. Lines are split at line feeds and compared as they are. Rows that agree
-    in doc_id and text are one document: their windows are the same occurrences.
+    in doc_id and text are one document: their windows are the same occurrences. An empty table stays
+    empty. Columns of any name pass as they are.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [_cut(t, g) for t, g in zip(b.column("text").to_pylist(), b.column("gone").to_pylist(), strict=True)]
+            texts = [_cut(t, g)[0] for t, g in zip(b.column("text").to_pylist(), b.column("gone").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("_row"), pa.array(texts, pa.string())], ["_row", "text"])
 
     rows = _joined(spark, docs, n).select("_row", "text", "gone")
@@ -95,8 +117,9 @@ def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, removed, md5 = [], [], []
         for text, gone in zip(b.column("text").to_pylist(), b.column("gone").to_pylist(), strict=True):
             total.append(0 if text is None else text.count("\n") + 1)
-            removed.append(len(gone or ()))
-            md5.append(hashlib.md5((_cut(text, gone) or "").encode("utf-8", "surrogatepass")).hexdigest())
+            left, n = _cut(text, gone)
+            removed.append(n)
+            md5.append(hashlib.md5((left or "").encode("utf-8", "surrogatepass")).hexdigest())
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(md5, pa.string())], ["doc_id", "n_lines", "n_removed", "kept_md5"])
 
 
