@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import queries as _registry
-from .queries import episodes, graph, learning, proofs, ranking, scoring, text  # noqa: F401  they register
+from .queries import episodes, graph, learning, negatives, proofs, ranking, scoring, text  # noqa: F401  they register
 
 FLAGSHIP = "min_proof_depth"
 

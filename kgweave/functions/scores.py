@@ -99,6 +99,77 @@ def puct(q: Column, low: Column, high: Column, prior: Column, parent: Column, vi
     return value + (F.ln((1 + parent + base) / base) + init) * prior * F.sqrt(F.greatest(parent, F.lit(1))) / (1 + visits)
 
 
+def predicate_bridge(proof: Column, kge: Column, alpha: Column, default: float = 0.5) -> Column:
+    """The linear bridge with a weight of the row's predicate; one without a weight has the default."""
+    a = sigmoid(F.coalesce(alpha, F.lit(default)))
+    return a * proof + (1 - a) * kge
+
+
+def rotate_atom(hr: Column, hi: Column, phase: Column, tr: Column, ti: Column) -> Column:
+    """Head turned by the phases, less the tail: real parts, then imaginary ones."""
+    cos, sin = F.transform(phase, F.cos), F.transform(phase, F.sin)
+    re = subtract(subtract(multiply(hr, cos), multiply(hi, sin)), tr)
+    return F.concat(re, subtract(add(multiply(hr, sin), multiply(hi, cos)), ti))
+
+
+def complex_atom(hr: Column, hi: Column, rr: Column, ri: Column, tr: Column, ti: Column) -> Column:
+    """Head times relation times the tail's conjugate: real parts, then imaginary ones."""
+    a, b = subtract(multiply(hr, rr), multiply(hi, ri)), add(multiply(hr, ri), multiply(hi, rr))
+    return F.concat(add(multiply(a, tr), multiply(b, ti)), subtract(multiply(b, tr), multiply(a, ti)))
+
+
+def atom_vector(kind: str, h: Column, r: Column, t: Column) -> Column:
+    """A vector of an atom of its arguments' and relation's: transe, complex, rotate, concat or sum."""
+    if kind == "transe":
+        return add(r, subtract(h, t))
+    if kind == "sum":
+        return add(add(r, h), t)
+    if kind == "concat":
+        return F.concat(r, h, t)
+    hr, hi, tr, ti = half(h, False), half(h, True), half(t, False), half(t, True)
+    if kind == "complex":
+        return complex_atom(hr, hi, half(r, False), half(r, True), tr, ti)
+    return rotate_atom(hr, hi, half(r, False), tr, ti)
+
+
+def state_vector(kind: str, atoms: Column, size: int) -> Column:
+    """A vector of a state of its atoms' (array of arrays of ``size``): sum, mean or concat."""
+    if kind == "concat":
+        return F.flatten(atoms)
+    zero = F.array_repeat(F.lit(0.0), size)
+    summed = F.aggregate(atoms, zero, lambda a, x: F.zip_with(a, x, lambda p, q: p + q))
+    return F.transform(summed, lambda x: x / F.greatest(F.size(atoms), F.lit(1))) if kind == "mean" else summed
+
+
+def backed_up(value: Column, visits: Column, reward: Column, gamma: float = 0.99) -> tuple[Column, Column]:
+    """A node's mean value and visits after one more return through it: reward + gamma * value below."""
+    n = visits + 1
+    return value + (reward - value) / n, n
+
+
+def temperature(progress: Column, steps: tuple[tuple[float, float], ...] = ((0.5, 1.0), (0.75, 0.5), (1.0, 0.25))) -> Column:
+    """The temperature of the first (share of training, temperature) that progress is below; then the last."""
+    out = F.lit(steps[-1][1])
+    for upto, value in reversed(steps):
+        out = F.when(progress < upto, value).otherwise(out)
+    return out
+
+
+#: Bytes of a soft fact in Parquet, and those that a run may take.
+FACT_BYTES, RUN_BYTES = 20, 512 << 20
+
+
+def capped_k(asked: Column, entities: Column, relations: Column, most: int = 10) -> Column:
+    """Soft facts a head and role: as asked, but at most ``most`` and what RUN_BYTES hold, and at least one."""
+    holds = F.greatest(F.lit(1), F.floor(F.lit(RUN_BYTES) / (entities * relations * 2 * FACT_BYTES)))
+    return F.least(asked, F.lit(most), holds).cast("int")
+
+
+def soft_facts_expected(entities: Column, relations: Column, k: Column, density: Column) -> Column:
+    """Soft facts of both roles less those that are known: up to 30 % of them, density * k."""
+    return entities * relations * 2 * k * (1 - F.least(F.lit(0.3), density * k))
+
+
 # Rewards by type of (proved, label 1), (not, 1), (proved, 0), (not, 0); None is the
 # weight of negatives.
 REWARDS = {

@@ -2,37 +2,59 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Steps of an episode whose discounts are relative to one another.
+BLOCK = 512
+
+
 def gae(steps: DataFrame, gamma: float = 0.99, lam: float = 0.95) -> DataFrame:
     """(env, t, advantage, ret): generalised advantages of each env's steps in order of t.
 
-    A backward fold over an env's steps as one array; the value after the last step is 0, and a
-    done step cuts what comes after it.
+    The value after an env's last step is 0, and a done step cuts what comes after it. Between such
+    cuts, advantages are discounted sums of what follows: running sums within blocks of steps, whose
+    discounts stay in range, plus what the blocks after carry, one row a block.
     """
-    nxt = F.lead("value", 1, 0.0).over(Window.partitionBy("env").orderBy("t"))
+    env = Window.partitionBy("env").orderBy("t")
+    nxt, g = F.lead("value", 1, 0.0).over(env), gamma * lam
     on = F.when(F.col("done"), 0.0).otherwise(1.0)
-    x = steps.select("env", "t", "value", on.alias("on"), (F.col("reward") + gamma * nxt * on - F.col("value")).alias("delta"))
-    seq = F.reverse(F.array_sort(F.collect_list(F.struct("t", "delta", "on", "value"))))
-    start = F.struct(F.lit(0.0).alias("acc"), F.array().cast("array<struct<t:long,value:double,adv:double>>").alias("out"))
-
-    def step(s, r):
-        a = r["delta"] + gamma * lam * r["on"] * s["acc"]
-        return F.struct(a.alias("acc"), F.concat(s["out"], F.array(F.struct(r["t"].alias("t"), r["value"].alias("value"), a.alias("adv")))).alias("out"))
-
-    folded = x.groupBy("env").agg(F.aggregate(seq, start, step).alias("f")).select("env", F.explode("f.out").alias("r"))
-    return folded.select("env", "r.t", F.col("r.adv").alias("advantage"), (F.col("r.adv") + F.col("r.value")).alias("ret"))
-
-
-def n_step(steps: DataFrame, n: int, gamma: float = 0.99) -> DataFrame:
-    """(env, t, target): n discounted rewards, and the value n steps on where the env has them."""
+    x = steps.select("env", "t", "value", F.col("done").cast("int").alias("done"), (F.col("reward") + gamma * nxt * on - F.col("value")).alias("delta"))
+    x = x.withColumn("run", F.sum("done").over(env) - F.col("done"))
+    x = x.withColumn("at", F.row_number().over(Window.partitionBy("env", "run").orderBy("t")) - 1)
+    x = x.withColumns({"block": F.floor(F.col("at") / BLOCK).cast("int"), "p": F.col("at") % BLOCK})
+    key = ["env", "run", "block"]
+    x = x.withColumn("s", F.sum(F.col("delta") * F.pow(F.lit(g), "p")).over(Window.partitionBy(*key).orderBy(F.desc("p"))) / F.pow(F.lit(g), "p"))
+    blocks = x.groupBy(*key).agg(F.max_by("s", -F.col("p")).alias("s"), F.count("*").alias("n"))
+    start = F.struct(F.lit(0.0).alias("acc"), F.array().cast("array<struct<block:int,carry:double,n:long>>").alias("out"))
+
+    def fold(a, r):
+        one = F.struct(r["block"].alias("block"), a["acc"].alias("carry"), r["n"].alias("n"))
+        return F.struct((r["s"] + F.pow(F.lit(g), r["n"]) * a["acc"]).alias("acc"), F.concat(a["out"], F.array(one)).alias("out"))
+
+    after = blocks.groupBy("env", "run").agg(F.aggregate(F.reverse(F.array_sort(F.collect_list(F.struct("block", "s", "n")))), start, fold).alias("f"))
+    carry = after.select("env", "run", F.explode("f.out").alias("c")).select("env", "run", "c.block", "c.carry", "c.n")
+    y = x.join(carry, key).withColumn("advantage", F.col("s") + F.pow(F.lit(g), F.col("n") - F.col("p")) * F.col("carry"))
+    return y.select("env", "t", "advantage", (F.col("advantage") + F.col("value")).alias("ret"))
+
+
+def n_step(steps: DataFrame, n: int, gamma: float = 0.99, last: str | None = None) -> DataFrame:
+    """(env, t, target): n discounted rewards, and the value n steps on where the env has them.
+
+    last: a column with the value of the state after an episode that was cut off by length, null
+    where it ended; its steps with fewer than n after them are discounted up to it.
+    """
     w = Window.partitionBy("env").orderBy("t")
     target = F.col("reward")
     for j in range(1, n):
         target = target + gamma**j * F.coalesce(F.lead("reward", j).over(w), F.lit(0.0))
-    return steps.select("env", "t", (target + gamma**n * F.coalesce(F.lead("value", n).over(w), F.lit(0.0))).alias("target"))
+    boot = gamma**n * F.lead("value", n).over(w)
+    if last is not None:
+        left = F.count("*").over(Window.partitionBy("env").orderBy(F.desc("t")))
+        cut = F.when(left <= n, F.pow(F.lit(gamma), left) * F.max(last).over(Window.partitionBy("env")))
+        boot = F.coalesce(boot, cut)
+    return steps.select("env", "t", (target + F.coalesce(boot, F.lit(0.0))).alias("target"))
 
 
 def shaped(steps: DataFrame, gamma: float = 0.99, beta: float = 1.0, eps: float = 1e-9) -> DataFrame:
@@ -47,9 +69,41 @@ def shaped(steps: DataFrame, gamma: float = 0.99, beta: float = 1.0, eps: float
 def statistics(episodes: DataFrame) -> DataFrame:
     """Mean and population deviation of reward and length by label, by (label, depth) and by
     (label, depth, pred), in one pass of grouping sets. Negatives have depth -1."""
+    return _by_label(episodes, {"reward": F.col("reward"), "length": F.col("length")})
+
+
+def _by_label(episodes: DataFrame, values: dict) -> DataFrame:
     x = episodes.withColumn("depth", F.when(F.col("label") == 1, F.col("depth")).otherwise(-1))
     sets = x.groupingSets([["label"], ["label", "depth"], ["label", "depth", "pred"]], "label", "depth", "pred")
-    return sets.agg(F.grouping_id().alias("level"), F.count("*").alias("n"), F.avg("reward").alias("reward_mean"), F.stddev_pop("reward").alias("reward_std"), F.avg("length").alias("length_mean"), F.stddev_pop("length").alias("length_std"))
+    stats = [f(v).alias(f"{k}_{name}") for k, v in values.items() for f, name in ((F.avg, "mean"), (F.stddev_pop, "std"))]
+    return sets.agg(F.grouping_id().alias("level"), F.count("*").alias("n"), *stats)
+
+
+def episode_metrics(events: DataFrame) -> DataFrame:
+    """``statistics`` with success beside reward and length, of events (env, episode, label, depth, pred,
+    reward, length, success): each (env, episode) counts once, however often it was reported."""
+    once = events.dropDuplicates(["env", "episode"])
+    return _by_label(once, {"reward": F.col("reward"), "length": F.col("length"), "success": F.col("success").cast("double")})
+
+
+def formatted(mean: Column, std: Column, n: Column) -> Column:
+    """``mean +/- deviation (n)`` with three and two places."""
+    return F.format_string("%.3f +/- %.2f (%d)", mean, std, n)
+
+
+def proof_statistics(episodes: DataFrame) -> DataFrame:
+    """(label, depth, n, proven, length, reward): share proved and means of length and reward, of each
+    label, and of positives by depth; depth is null in a label's own row."""
+    share = [F.count("*").alias("n"), F.avg(F.col("success").cast("double")).alias("proven"), F.avg("length").alias("length"), F.avg("reward").alias("reward")]
+    all_ = episodes.groupBy("label").agg(*share).select("label", F.lit(None).cast("int").alias("depth"), "n", "proven", "length", "reward")
+    by = episodes.where("label = 1").groupBy("label", F.col("depth").cast("int").alias("depth")).agg(*share)
+    return all_.unionByName(by)
+
+
+def trial_summary(walks: DataFrame) -> DataFrame:
+    """(mean, std, min, max) over trials of each trial's share of successes; walks: (trial, success)."""
+    each = walks.groupBy("trial").agg(F.avg(F.col("success").cast("double")).alias("rate"))
+    return each.agg(F.avg("rate").alias("mean"), F.stddev_pop("rate").alias("std"), F.min("rate").alias("min"), F.max("rate").alias("max"))
 
 
 def branching(factors: DataFrame) -> DataFrame:

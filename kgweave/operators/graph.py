@@ -106,11 +106,62 @@ def relation_domains(facts: DataFrame) -> DataFrame:
     return facts.select("pred", F.explode(F.array(F.struct(F.lit("head").alias("role"), F.col("h").alias("entity")), F.struct(F.lit("tail").alias("role"), F.col("t").alias("entity")))).alias("e")).select("pred", "e.role", "e.entity").distinct()
 
 
+def filter_pairs(facts: DataFrame) -> DataFrame:
+    """(pred, anchor, side, entity): the known answers of each (relation, anchor) on each side."""
+    one = lambda side, anchor, entity: F.struct(F.lit(side).alias("side"), F.col(anchor).alias("anchor"), F.col(entity).alias("entity"))
+    both = facts.select("pred", F.explode(F.array(one("tail", "h", "t"), one("head", "t", "h"))).alias("e"))
+    return both.select("pred", "e.anchor", "e.side", "e.entity").distinct()
+
+
 def filter_sizes(facts: DataFrame) -> DataFrame:
     """(pred, anchor, side, n): how many known answers each (relation, anchor) has on each side."""
-    tails = facts.groupBy("pred", F.col("h").alias("anchor")).agg(F.countDistinct("t").alias("n")).withColumn("side", F.lit("tail"))
-    heads = facts.groupBy("pred", F.col("t").alias("anchor")).agg(F.countDistinct("h").alias("n")).withColumn("side", F.lit("head"))
-    return tails.unionByName(heads)
+    return filter_pairs(facts).groupBy("pred", "anchor", "side").agg(F.count("*").alias("n"))
+
+
+def filter_sets(facts: DataFrame, chunk: int = 100_000) -> DataFrame:
+    """(pred, anchor, side, part, entities): the known answers as sorted arrays.
+
+    An anchor with many answers has several parts, dealt by hash into about ``chunk`` each, so no row
+    holds an unbounded set; the others have part 0.
+    """
+    pairs = filter_pairs(facts)
+    sizes = pairs.groupBy("pred", "anchor", "side").agg(F.ceil(F.count("*") / chunk).alias("parts")).where("parts > 1")
+    x = pairs.join(sizes, ["pred", "anchor", "side"], "left")
+    part = F.pmod(F.xxhash64("entity"), F.coalesce("parts", F.lit(1))).cast("int")
+    return x.groupBy("pred", "anchor", "side", part.alias("part")).agg(F.sort_array(F.collect_list("entity")).alias("entities"))
+
+
+def head_filter(queries: DataFrame, rules: DataFrame, limit: int | None = None, order: str = "line") -> DataFrame:
+    """Queries (pred, ...) whose predicate heads a rule of ``rules`` (head, body); ``limit`` counts what
+    is left, in order of ``order``."""
+    out = queries.join(rules.select(F.col("head.p").alias("pred")).distinct(), "pred", "left_semi").select(*queries.columns)
+    return out.orderBy(order).limit(limit) if limit is not None else out
+
+
+def matching(goals: DataFrame, facts: DataFrame, limit: int | None = None) -> DataFrame:
+    """(qid, h, t): facts that fit goals (qid, pred, h, t) whose arguments may be null for free.
+
+    ``limit`` keeps the first so many of a goal in order of (h, t), before the shuffle. A goal bound on
+    a side meets facts by that side; only goals with both free meet a whole relation.
+    """
+    parts = [(F.col("h").isNotNull() & F.col("t").isNotNull(), "bb"), (F.col("h").isNotNull() & F.col("t").isNull(), "bf"), (F.col("h").isNull() & F.col("t").isNotNull(), "fb"), (F.col("h").isNull() & F.col("t").isNull(), "ff")]
+    out = None
+    for some, pattern in parts:
+        x = bindings(goals.where(some), facts, pattern)
+        out = x if out is None else out.unionAll(x)
+    if limit is not None:
+        out = out.withColumn("_r", F.row_number().over(Window.partitionBy("qid").orderBy("h", "t"))).where(F.col("_r") <= limit).drop("_r")
+    return out
+
+
+def entities_at(facts: DataFrame, pred: str, position: str, other: str | None = None, limit: int | None = None) -> DataFrame:
+    """(entity): distinct arguments of a relation at position h or t, sorted; with the other argument
+    given, of its facts only."""
+    x = facts.where(F.col("pred") == pred)
+    if other is not None:
+        x = x.where(F.col("t" if position == "h" else "h") == other)
+    out = x.select(F.col(position).alias("entity")).distinct().orderBy("entity")
+    return out.limit(limit) if limit is not None else out
 
 
 def encode(facts: DataFrame, ids: DataFrame) -> DataFrame:

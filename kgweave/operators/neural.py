@@ -31,18 +31,29 @@ def tucker(df: DataFrame, core: np.ndarray, keys: list[str]) -> DataFrame:
     return _scored(df, lambda h, r, t: np.einsum("ijk,ni,nj,nk->n", core, h, r, t, optimize=True), keys, ("hv", "r", "tv"))
 
 
-def conv_e(df: DataFrame, filters: np.ndarray, project: np.ndarray, width: int, keys: list[str]) -> DataFrame:
+def conv_e(df: DataFrame, filters: np.ndarray, project: np.ndarray, width: int, keys: list[str], norms: tuple | None = None, bias: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
     """Head and relation as stacked images, filters of k x k, a rectifier, a projection, the tail.
 
-    filters: (n, k, k); project: (n * rows * columns of the outputs, size of a vector).
+    filters: (n, k, k); project: (n * rows * columns of the outputs, size of a vector). norms: batch
+    norms of the image, the maps and the projection, each (mean, variance, scale, shift) of its
+    channels as they were learned; bias: of the projection, and a number added to every score.
     """
+    image_norm, map_norm, out_norm = norms or (None, None, None)
+    added, shift = bias if bias is not None else (0.0, 0.0)
+
+    def normed(x: np.ndarray, norm, shape: tuple[int, ...]) -> np.ndarray:
+        if norm is None:
+            return x
+        mean, variance, scale, offset = (np.reshape(v, shape) for v in norm)
+        return (x - mean) / np.sqrt(variance + 1e-5) * scale + offset
 
     def score(h: np.ndarray, r: np.ndarray, t: np.ndarray) -> np.ndarray:
-        image = np.concatenate([x.reshape(len(x), -1, width) for x in (h, r)], 1)
+        image = normed(np.concatenate([x.reshape(len(x), -1, width) for x in (h, r)], 1), image_norm, (1, 1, 1))
         k = filters.shape[1]
         patches = np.lib.stride_tricks.sliding_window_view(image, (k, k), (1, 2))
-        maps = np.maximum(np.einsum("nyxij,fij->nfyx", patches, filters), 0)
-        return np.einsum("nd,nd->n", np.maximum(maps.reshape(len(h), -1) @ project, 0), t)
+        maps = np.maximum(normed(np.einsum("nyxij,fij->nfyx", patches, filters), map_norm, (1, -1, 1, 1)), 0)
+        out = np.maximum(normed(maps.reshape(len(h), -1) @ project + added, out_norm, (1, -1)), 0)
+        return np.einsum("nd,nd->n", out, t) + shift
 
     return _scored(df, score, keys, ("hv", "r", "tv"))
 

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.ordered import running, running_max
+
 
 def ranks(scored: DataFrame, keys: list[str]) -> DataFrame:
     """keys, optimistic, realistic, pessimistic of candidates (keys, score, truth).
 
     One aggregate after the true scores are spread by a window over each key: g better and e equal
-    others make ranks g + 1, g + 1 + e / 2 and g + 1 + e.
+    others make ranks g + 1, g + 1 + e / 2 and g + 1 + e. Of several true candidates of a key the
+    best score counts; the others are left out of its comparison. A key without one has rank 1.
     """
     best = F.max(F.when(F.col("truth"), F.col("score"))).over(Window.partitionBy(*keys))
     x = scored.withColumn("_true", best).where("not truth").groupBy(*keys)
@@ -55,8 +58,7 @@ def proof_ranks(proved: DataFrame) -> DataFrame:
 def average_precision(scored: DataFrame) -> DataFrame:
     """ap over (score, label), equal scores together: precision at each score weighted by recall."""
     by = scored.groupBy("score").agg(F.count("*").alias("n"), F.sum(F.col("label").cast("long")).alias("p"))
-    upto = Window.orderBy(F.col("score").desc())
-    x = by.select("p", F.sum("n").over(upto).alias("cn"), F.sum("p").over(upto).alias("cp"))
+    x = running(scored.sparkSession, by, "score", {"cn": "n", "cp": "p"}, descending=True)
     return x.agg((F.sum(F.col("p") * F.col("cp") / F.col("cn")) / F.sum("p")).alias("ap"))
 
 
@@ -68,6 +70,38 @@ def top_k(scored: DataFrame, keys: list[str], k: int, order: str = "entity") ->
 
 def running_best(metrics_: DataFrame, step: str, value: str) -> DataFrame:
     """step, value, best so far and the step it was reached at first."""
-    w = Window.orderBy(step)
-    x = metrics_.withColumn("best", F.max(value).over(w))
+    x = running_max(metrics_.sparkSession, metrics_, step, value, "best")
     return x.withColumn("best_step", F.min(F.when(F.col(value) == F.col("best"), F.col(step))).over(Window.partitionBy("best").orderBy(step)))
+
+
+def domain_ranks(scored: DataFrame, domain: DataFrame, keys: list[str], known: DataFrame | None = None) -> DataFrame:
+    """Ranks among candidates (keys, pred, entity, score, truth) of the relation's own domain.
+
+    domain: (pred, entity) seen on the side that is asked for. The true candidate counts whether it
+    is in the domain or not; ``known`` (keys, entity) are left out.
+    """
+    inside = domain.select("pred", "entity").distinct().withColumn("_in", F.lit(True))
+    x = scored.join(inside, ["pred", "entity"], "left").where("truth or _in").drop("_in")
+    if known is not None:
+        x = x.join(known.select(*keys, "entity").withColumn("_k", F.lit(True)), [*keys, "entity"], "left").where("truth or _k is null").drop("_k")
+    return ranks(x, keys)
+
+
+def sampled_ranks(scored: DataFrame, n: int, keys: list[str], known: DataFrame | None = None, order: str = "tie") -> DataFrame:
+    """Ranks among the truth and the first n other candidates of a key in order of ``order``.
+
+    ``known`` (keys, entity) are no candidates; there are fewer than n where a key has not as many.
+    """
+    x = scored
+    if known is not None:
+        x = x.join(known.select(*keys, "entity").withColumn("_k", F.lit(True)), [*keys, "entity"], "left").where("truth or _k is null").drop("_k")
+    r = F.row_number().over(Window.partitionBy(*keys).orderBy(order, "entity"))
+    others = x.where("not truth").withColumn("_r", r).where(F.col("_r") <= n).drop("_r")
+    return ranks(others.unionByName(x.where("truth")), keys)
+
+
+def sorted_position(scored: DataFrame, keys: list[str], mask: str = "masked") -> DataFrame:
+    """keys, rank: place of the truth after sorting by score and then tie, both falling; candidates
+    whose ``mask`` is true have the least score there is."""
+    s = F.when(F.col(mask), F.lit(float("-inf"))).otherwise(F.col("score").cast("double"))
+    return tie_ranks(scored.withColumn("score", s), keys)

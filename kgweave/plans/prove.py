@@ -43,7 +43,7 @@ def canonical(atoms: Column) -> Column:
 
 
 def _fact_children(frontier: DataFrame, facts: DataFrame, ground: bool = False, exclude: bool = True) -> DataFrame:
-    """Children by facts that bind the goal's free arguments.
+    """Children by facts that bind the goal's free arguments; kind 0, via the fact.
 
     One equi-join for each pattern of free arguments; ``ground`` takes goals without any too,
     which eager pruning has left none of. With ``exclude`` the goal's own query is no fact.
@@ -59,15 +59,16 @@ def _fact_children(frontier: DataFrame, facts: DataFrame, ground: bool = False,
     if ground:
         out = out.unionByName(g.where(~_free(F.col("ga")) & ~_free(F.col("gb"))).join(f, (F.col("gp") == F.col("fp")) & (F.col("ga") == F.col("fh")) & (F.col("gb") == F.col("ft"))))
     out = out.where(~own) if exclude else out
-    return out.select("qid", "qp", "qa", "qb", _replaced(rest, [(F.col("ga"), F.col("fh")), (F.col("gb"), F.col("ft"))]).alias("atoms"))
+    atoms = _replaced(rest, [(F.col("ga"), F.col("fh")), (F.col("gb"), F.col("ft"))])
+    return out.select("qid", "qp", "qa", "qb", atoms.alias("atoms"), F.lit(0).alias("kind"), F.concat_ws("|", "fh", "ft").alias("via"))
 
 
 def _rule_children(frontier: DataFrame, rules: list[Rule], behind: bool = False) -> DataFrame | None:
     """Children by rules: body, then the remaining atoms (``behind``: the other way round), under
-    the most general unifier."""
+    the most general unifier; kind 1, via the rule's place."""
     out = None
     g = frontier.withColumns({"gp": F.col("atoms")[0]["p"], "ga": F.col("atoms")[0]["a"], "gb": F.col("atoms")[0]["b"]})
-    for r in rules:
+    for i, r in enumerate(rules):
         x = g.where(F.col("gp") == r.head.p)
         bind: dict[str, Column] = {}
         remaining: list[tuple[Column, Column]] = []
@@ -92,14 +93,17 @@ def _rule_children(frontier: DataFrame, rules: list[Rule], behind: bool = False)
         body = F.array(*[F.struct(F.lit(a.p).alias("p"), term(a.a).alias("a"), term(a.b).alias("b")) for a in r.body])
         rest = F.slice("atoms", 2, F.greatest(F.size("atoms") - 1, F.lit(0)))
         rest = _replaced(rest, remaining) if remaining else rest
-        part = x.select("qid", "qp", "qa", "qb", (F.concat(rest, body) if behind else F.concat(body, rest)).alias("atoms"))
+        part = x.select("qid", "qp", "qa", "qb", (F.concat(rest, body) if behind else F.concat(body, rest)).alias("atoms"), F.lit(1).alias("kind"), F.lit(f"{i:06d}").alias("via"))
         out = part if out is None else out.unionAll(part)
     return out
 
 
-def prune(children: DataFrame, facts: DataFrame) -> DataFrame:
-    """Children without their atoms that are facts, other than the query itself; in order."""
-    key = ["qid", "qp", "qa", "qb", "atoms"]
+def prune(children: DataFrame, facts: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Children without their atoms that are facts, other than the query itself; in order.
+
+    ``extra`` columns are kept beside them.
+    """
+    key = ["qid", "qp", "qa", "qb", *extra, "atoms"]
     each = children.select(*key, F.posexplode_outer("atoms").alias("pos", "atom"))
     each = each.withColumns({"p": F.col("atom.p"), "a": F.col("atom.a"), "b": F.col("atom.b")})
     f = facts.select(F.col("pred").alias("fp"), F.col("h").alias("fh"), F.col("t").alias("ft")).distinct()
@@ -108,7 +112,11 @@ def prune(children: DataFrame, facts: DataFrame) -> DataFrame:
     stays = F.when(F.col("fp").isNull() | own, F.struct("pos", "atom"))
     kept = hit.groupBy(*key).agg(F.sort_array(F.collect_list(stays)).alias("kept"))
     left = F.filter(F.transform("kept", lambda x: x["atom"]), lambda x: x.isNotNull())
-    return kept.select("qid", "qp", "qa", "qb", left.alias("atoms"))
+    return kept.select("qid", "qp", "qa", "qb", *extra, left.alias("atoms"))
+
+
+def _state_key() -> Column:
+    return F.unhex(F.md5(F.concat_ws("|", F.col("qid").cast("string"), F.to_json("atoms"))))
 
 
 class Search:
@@ -145,18 +153,19 @@ class Search:
         self.proved = self.scratch.table(known, "proved")
         self.left = self.scratch.table(states.join(self.proved, "qid", "left_anti"), "frontier")
         self.factors = None
-        seen = self.left.select("qid", "atoms")
+        # States met before, as 128-bit keys: what is read again each round does not grow with the atoms.
+        seen = self.left.select(_state_key().alias("key"))
         for depth in range(1, self.max_depth + 1):
             children = self.scratch.table(self._children(self.left), "children")
             made = children.groupBy("qid").agg(F.count("*").alias("bf")).select("qid", F.lit(depth).alias("depth"), "bf")
             self.factors = made if self.factors is None else self.factors.unionAll(made)
             done = children.where(F.size("atoms") == 0).select("qid", F.lit(depth).alias("depth"))
             self.proved = self.proved.unionAll(done)
-            fresh = children.where(F.size("atoms").between(1, self.max_atoms)).join(done, "qid", "left_anti").join(seen, ["qid", "atoms"], "left_anti")
+            fresh = children.where(F.size("atoms").between(1, self.max_atoms)).join(done, "qid", "left_anti").withColumn("key", _state_key()).join(seen, "key", "left_anti").drop("key")
             self.left = self.scratch.table(fresh, "frontier")
             if self.left.isEmpty():
                 break
-            seen = seen.unionAll(self.left.select("qid", "atoms"))
+            seen = self.scratch.table(seen.unionAll(self.left.select(_state_key().alias("key"))), "seen")
 
     def depths(self, goals: DataFrame) -> DataFrame:
         best = self.proved.groupBy("qid").agg(F.min("depth").alias("depth"))
@@ -170,14 +179,15 @@ class Search:
         return x.select("qid", status.alias("status"), "depth")
 
 
-def min_depths(spark: SparkSession, goals: DataFrame, facts: DataFrame, rules: list[Rule], max_depth: int = MAX_DEPTH, max_atoms: int = MAX_ATOMS) -> DataFrame:
+def min_depths(spark: SparkSession, goals: DataFrame, facts: DataFrame, rules: list[Rule], max_depth: int = MAX_DEPTH, max_atoms: int = MAX_ATOMS, exclude: bool = True) -> DataFrame:
     """qid, depth of every goal in ``goals`` (qid, pred, h, t): resolution steps of its shortest
     proof, -1 if there is none within ``max_depth`` steps and ``max_atoms`` atoms.
 
-    The goal itself is never a premise. Facts are pruned as soon as they are ground. A state that
-    a goal has met before, up to names of variables, is not followed again; proved goals leave.
+    The goal itself is never a premise; without ``exclude`` it may be, and a goal that is a fact has
+    depth 0. Facts are pruned as soon as they are ground. A state that a goal has met before, up to
+    names of variables, is not followed again; proved goals leave.
     """
-    search = Search(spark, facts, rules, max_depth, max_atoms)
+    search = Search(spark, facts, rules, max_depth, max_atoms, exclude=exclude)
     search.run(goals)
     return search.depths(goals)
 

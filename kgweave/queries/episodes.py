@@ -106,7 +106,7 @@ def explained_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REWARD_SQL = " ".join(
-    f"CASE WHEN NOT done THEN 0.0 WHEN label = 1 THEN CASE WHEN success THEN {tp} ELSE {fn} END WHEN success THEN {fp} ELSE {0.5 if tn is None else tn}{' + CASE WHEN ended THEN 0.3 ELSE 0.0 END' if k == 5 else ''} END AS reward{k}," for k, (tp, fn, fp, tn) in S.REWARDS.items()
+    f"CAST(CASE WHEN NOT done THEN 0.0 WHEN label = 1 THEN CASE WHEN success THEN {tp} ELSE {fn} END WHEN success THEN {fp} ELSE {0.5 if tn is None else tn}{' + CASE WHEN ended THEN 0.3 ELSE 0.0 END' if k == 5 else ''} END AS DOUBLE) AS reward{k}," for k, (tp, fn, fp, tn) in S.REWARDS.items()
 )
 
 
@@ -161,3 +161,90 @@ def policy_loss_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     r, a = F.col("ratio"), F.col("adv")
     clipped = F.greatest(F.lit(0.8), F.least(F.lit(1.2), r))
     return x.groupBy("event_type").agg(F.round(F.avg(-F.least(r * a, clipped * a)), 6).alias("policy_loss"), F.round(F.avg(F.when(F.abs(r - 1) > 0.2, 1.0).otherwise(0.0)), 6).alias("clip_fraction"), F.round(F.avg(r - 1 - F.ln(r)), 6).alias("approx_kl"))
+
+
+@register(
+    f"WITH s AS ({STEPS}), l AS (SELECT *, count(*) OVER (PARTITION BY env ORDER BY t DESC) AS n, CASE WHEN env % 3 = 0 THEN NULL ELSE CAST(env % 7 AS DOUBLE) END AS last FROM s) SELECT env, t, round(reward + 0.99 * coalesce(lead(reward, 1) OVER w, 0) + pow(0.99, 2) * coalesce(lead(reward, 2) OVER w, 0) + coalesce(pow(0.99, 3) * lead(value, 3) OVER w, CASE WHEN n <= 3 THEN pow(0.99, n) * last END, 0), 6) AS target FROM l WINDOW w AS (PARTITION BY env ORDER BY t)"
+)
+def nstep_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two of three episodes were cut off, and have the value of the state after them."""
+    last = F.when(F.col("env") % 3 == 0, None).otherwise((F.col("env") % 7).cast("double"))
+    return E.n_step(steps(spark, sf_dir).withColumn("last", last), 3, last="last").select("env", "t", F.round("target", 6).alias("target"))
+
+
+RUNS = f"{EPISODES}, v AS (SELECT env, label, CAST(depth AS INTEGER) AS depth, pred, reward, length, length % 2 = 0 AS success FROM e)"
+
+
+def finished(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return episodes(spark, sf_dir).withColumns({"depth": F.when(F.col("label") == 1, F.col("depth")).otherwise(-1).cast("int"), "success": F.col("length") % 2 == 0, "episode": F.lit(0)})
+
+
+@register(
+    f"{RUNS}, g AS (SELECT label, depth, pred, count(*) AS n, avg(reward) AS rm, stddev_pop(reward) AS rs, avg(CAST(success AS INTEGER)) AS sm, stddev_pop(CAST(success AS INTEGER)) AS ss FROM v GROUP BY GROUPING SETS ((label), (label, depth), (label, depth, pred))) "
+    "SELECT label, depth, pred, n, round(rm, 4) AS reward, round(rs, 4) AS reward_std, printf('%.3f +/- %.2f (%d)', sm, ss, n) AS success FROM g"
+)
+def episode_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every episode is reported twice here, and counts once."""
+    x = finished(spark, sf_dir)
+    m = E.episode_metrics(x.unionAll(x))
+    return m.select("label", "depth", "pred", "n", F.round("reward_mean", 4).alias("reward"), F.round("reward_std", 4).alias("reward_std"), E.formatted(F.col("success_mean"), F.col("success_std"), F.col("n")).alias("success"))
+
+
+@register(f"{RUNS}, a AS (SELECT label, NULL AS depth, success, length, reward FROM v UNION ALL SELECT label, depth, success, length, reward FROM v WHERE label = 1) SELECT label, CAST(depth AS INTEGER) AS depth, count(*) AS n, round(avg(CAST(success AS INTEGER)), 6) AS proven, round(avg(length), 4) AS length, round(avg(reward), 4) AS reward FROM a GROUP BY label, depth")
+def proof_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = E.proof_statistics(finished(spark, sf_dir))
+    return x.select("label", "depth", "n", F.round("proven", 6).alias("proven"), F.round("length", 4).alias("length"), F.round("reward", 4).alias("reward"))
+
+
+@register("SELECT round(avg(rate), 6) AS mean, round(stddev_pop(rate), 6) AS std, round(min(rate), 6) AS min, round(max(rate), 6) AS max FROM (SELECT user_id % 7 AS trial, avg(CASE WHEN event_id * 7919 % 10 < 4 THEN 1.0 ELSE 0.0 END) AS rate FROM events GROUP BY 1)")
+def trial_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    x = E.trial_summary(e.select((F.col("user_id") % 7).alias("trial"), (F.col("event_id") * 7919 % 10 < 4).alias("success")))
+    return x.select(*[F.round(c, 6).alias(c) for c in ("mean", "std", "min", "max")])
+
+
+@register("SELECT event_id, CASE WHEN p < 0.5 THEN 1.0 WHEN p < 0.75 THEN 0.5 ELSE 0.25 END AS temperature FROM (SELECT event_id, event_id % 101 / 100.0 AS p FROM events)".replace("CASE WHEN p", "CAST(CASE WHEN p").replace("0.25 END", "0.25 END AS DOUBLE)"))
+def temperature_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.select("event_id", S.temperature(F.col("event_id") % 101 / 100.0).alias("temperature"))
+
+
+PUCT = "round(CASE WHEN hi > lo THEN (value - lo) / (hi - lo) ELSE value END + (ln((1 + n + 19652.0) / 19652.0) + 1.25) / n * sqrt(greatest(n, 1)) / (1 + t), 9)"
+
+
+@register(f"WITH s AS ({STEPS}), m AS (SELECT *, min(value) OVER w AS lo, max(value) OVER w AS hi, count(*) OVER w AS n FROM s WINDOW w AS (PARTITION BY env)), c AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY env ORDER BY {PUCT} DESC, t) = 1) SELECT env, t AS action, round(value + (reward + 0.99 * value - value) / (t + 1), 6) AS value, t + 1 AS visits FROM c")
+def puct_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The child of the greatest score, and its value after one more return went up through it."""
+    w = Window.partitionBy("env")
+    x = steps(spark, sf_dir).withColumns({"lo": F.min("value").over(w), "hi": F.max("value").over(w), "n": F.count("*").over(w)})
+    score = F.round(S.puct(F.col("value"), F.col("lo"), F.col("hi"), 1 / F.col("n"), F.col("n"), F.col("t")), 9)
+    best = x.withColumn("r", F.row_number().over(w.orderBy(score.desc(), "t"))).where("r = 1")
+    value, visits = S.backed_up(F.col("value"), F.col("t"), F.col("reward") + 0.99 * F.col("value"))
+    return best.select("env", F.col("t").alias("action"), F.round(value, 6).alias("value"), visits.alias("visits"))
+
+
+@register(f"WITH s AS ({STEPS}), x AS (SELECT *, max(value) OVER (PARTITION BY env) AS top FROM s), p AS (SELECT env, t, event_id, value, exp(value - top) / sum(exp(value - top)) OVER (PARTITION BY env) AS p FROM x), g AS (SELECT *, value - ln(-ln(((event_id * 7919 + 104729) % 1000003 + 0.5) / 1000003)) AS g FROM p) SELECT env, round(sum(CASE WHEN p > 0 THEN -p * ln(p) ELSE 0 END), 6) AS entropy, arg_max(t, g) AS sample FROM g GROUP BY env")
+def entropy_and_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entropy of each env's softmax, and one seeded draw of it."""
+    from ..functions import losses as L
+
+    x = steps(spark, sf_dir).withColumn("p", L.softmax(F.col("value"), Window.partitionBy("env")))
+    x = x.withColumns({"e": L.entropy(F.col("p"), Window.partitionBy("env")), "g": F.col("value") + L.gumbel(F.col("event_id"))})
+    return x.groupBy("env").agg(F.round(F.max("e"), 6).alias("entropy"), F.max_by("t", "g").alias("sample"))
+
+
+@register(f"WITH s AS ({STEPS}), x AS (SELECT event_type, value AS new, value - (event_id % 5 - 2) AS old, reward / 20 AS target FROM s) SELECT event_type, round(avg(greatest((new - target) ** 2, (old + greatest(-0.5, least(0.5, new - old)) - target) ** 2) / 2), 4) AS loss FROM x GROUP BY event_type")
+def clipped_value_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions import losses as L
+
+    x = steps(spark, sf_dir).select("event_type", F.col("value").alias("new"), (F.col("value") - (F.col("event_id") % 5 - 2)).alias("old"), (F.col("reward") / 20).alias("target"))
+    return x.groupBy("event_type").agg(F.round(F.avg(L.clipped_value_loss(F.col("new"), F.col("old"), F.col("target"), 0.5)), 4).alias("loss"))
+
+
+@register(f"WITH s AS ({STEPS}) SELECT env, round(avg(greatest(0, 3 + value - p)), 6) AS loss FROM (SELECT env, t, value, first_value(value) OVER (PARTITION BY env ORDER BY t) AS p FROM s) WHERE t > 1 GROUP BY env")
+def margin_contrastive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first state of an env against all its others."""
+    from ..functions import losses as L
+
+    x = steps(spark, sf_dir).withColumn("p", F.first("value").over(Window.partitionBy("env").orderBy("t"))).where("t > 1")
+    return x.groupBy("env").agg(F.round(F.avg(L.margin_contrastive(F.col("p"), F.col("value"), 3.0)), 6).alias("loss"))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
+from ..plans.bodies import bindings, constrained
+from ..plans.rules import Atom, Rule, rule_table
 from ..plans.scratch import small
 from . import register
 
@@ -43,11 +45,31 @@ def dictionary_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.encode(facts, ids)
 
 
-@register(f"SELECT h, t FROM ({CUST}) WHERE pred IN ('custIn', 'inRegion')")
+@register(f"SELECT pred, h, t FROM ({PLACES}) WHERE pred IN ('custIn', 'inRegion') ORDER BY h, t LIMIT 100")
 def rule_semi_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Queries whose predicate heads a rule."""
-    heads = spark.createDataFrame([("custIn",), ("inRegion",)], "pred string")
-    return places(spark, sf_dir).where(F.col("pred") == "custIn").join(F.broadcast(heads), "pred", "left_semi").select("h", "t")
+    """The first hundred queries whose predicate heads a rule; the limit counts what is left."""
+    rules = [Rule(Atom("custIn", "X", "Y"), (Atom("suppIn", "X", "Y"),)), Rule(Atom("inRegion", "X", "Y"), (Atom("near", "X", "Z"), Atom("inRegion", "Z", "Y")))]
+    lines = places(spark, sf_dir).withColumn("line", F.struct("h", "t"))
+    return G.head_filter(lines, rule_table(spark, rules), 100).select("pred", "h", "t")
+
+
+@register(f"SELECT c.h AS qid, s.h AS supplier, c.t AS nation FROM ({CUST}) c JOIN ({SUPP}) s ON c.t = s.t JOIN ({REGION}) r ON r.h = c.t AND r.t = 'r:' || (CAST(substr(c.h, 3) AS BIGINT) % 5) QUALIFY row_number() OVER (PARTITION BY c.h ORDER BY c.t, s.h) <= 6")
+def body_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """served(C, R) :- custIn(C, N), suppIn(S, N), inRegion(N, R): the first six bindings of each goal."""
+    rule = Rule(Atom("served", "C", "R"), (Atom("custIn", "C", "N"), Atom("suppIn", "S", "N"), Atom("inRegion", "N", "R")))
+    goals = G.relation(spark, sf_dir, "custIn").select(F.col("h").alias("qid"), "h", F.concat(F.lit("r:"), (F.substring("h", 3, 20).cast("long") % 5).cast("string")).alias("t"))
+    x = bindings(rule, places(spark, sf_dir), goals, 6)
+    return x.select("qid", F.col("v_S").alias("supplier"), F.col("v_N").alias("nation"))
+
+
+@register(f"WITH g AS (SELECT 's:' || s_suppkey AS qid, 's:' || s_suppkey AS h, 'r:' || s_suppkey % 5 AS t FROM supplier), b AS (SELECT g.qid, s.t AS n FROM g JOIN ({SUPP}) s ON s.h = g.h JOIN ({REGION}) r ON r.h = s.t AND r.t = g.t) SELECT qid, CAST(1 AS INTEGER) AS rank, n AS nation, 3 AS atoms FROM b GROUP BY qid, n")
+def constrained_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """serves(S, R) :- suppIn(S, N), inRegion(N, R), custIn(C, N): N comes from the first atom, the second
+    must then be a fact, and of the third, whose C stays free, there must be some."""
+    rule = Rule(Atom("serves", "S", "R"), (Atom("suppIn", "S", "N"), Atom("inRegion", "N", "R"), Atom("custIn", "C", "N")))
+    goals = G.relation(spark, sf_dir, "suppIn").select(F.col("h").alias("qid"), "h", F.concat(F.lit("r:"), (F.substring("h", 3, 20).cast("long") % 5).cast("string")).alias("t"))
+    x = constrained(rule, places(spark, sf_dir), goals)
+    return x.select("qid", "rank", F.col("body")[0]["b"].alias("nation"), F.size("body").alias("atoms"))
 
 
 def _goals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,14 +118,17 @@ def fact_membership_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def ground_prune_all_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of two ground atoms a customer after facts are pruned, and if nothing is."""
+    from ..plans.prove import prune
+
     c, s = G.relation(spark, sf_dir, "custIn"), G.relation(spark, sf_dir, "suppIn")
     num = F.substring("h", 3, 20)
     one = c.select("h", num.alias("k")).join(s.select("t", num.alias("k")), "k").select(F.col("h").alias("qid"), F.lit("custIn").alias("pred"), "h", "t")
     two = c.select(F.col("h").alias("qid"), F.lit("inRegion").alias("pred"), F.col("t").alias("h"), F.lit("r:0").alias("t"))
-    known = places(spark, sf_dir).distinct().withColumn("known", F.lit(True))
-    x = one.unionByName(two).join(known, ["pred", "h", "t"], "left")
-    left = F.count_if(F.col("known").isNull())
-    return x.groupBy("qid").agg(left.alias("remaining"), (left == 0).alias("all_facts"))
+    atom = F.struct(F.col("pred").alias("p"), F.col("h").alias("a"), F.col("t").alias("b"))
+    states = one.unionByName(two).groupBy("qid").agg(F.sort_array(F.collect_list(atom)).alias("atoms"))
+    states = states.select("qid", *[F.lit("").alias(c) for c in ("qp", "qa", "qb")], "atoms")
+    x = prune(states, places(spark, sf_dir))
+    return x.select("qid", F.size("atoms").cast("long").alias("remaining"), (F.size("atoms") == 0).alias("all_facts"))
 
 
 @register(f"SELECT c.h, r.t FROM ({CUST}) c JOIN ({REGION}) r ON c.t = r.h")
@@ -134,14 +159,9 @@ def rule_symmetric(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(f"SELECT DISTINCT c.h, s.h AS t FROM ({CUST}) c JOIN ({PLACED}) o ON c.h = o.h JOIN ({CONTAINS}) p ON o.t = p.h JOIN ({SUPPLIES}) u ON p.t = u.t JOIN ({SUPP}) s ON u.h = s.h AND s.t = c.t")
 def conjunctive_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """near(C, S) :- placed(C, O), contains(O, P), supplies(S, P), custIn(C, N), suppIn(S, N)."""
-    o = G.relation(spark, sf_dir, "placed").select(F.col("h").alias("c"), F.col("t").alias("o"))
-    p = G.relation(spark, sf_dir, "contains").select(F.col("h").alias("o"), F.col("t").alias("p"))
-    u = G.relation(spark, sf_dir, "supplies").select(F.col("h").alias("s"), F.col("t").alias("p"))
-    c = G.relation(spark, sf_dir, "custIn").select(F.col("h").alias("c"), F.col("t").alias("n"))
-    s = G.relation(spark, sf_dir, "suppIn").select(F.col("h").alias("s"), F.col("t").alias("n"))
-    bought = o.join(p, "o").join(c, "c").select("c", "n", "p").distinct()
-    sold = u.join(s, "s")
-    return bought.join(sold, ["p", "n"]).select(F.col("c").alias("h"), F.col("s").alias("t")).distinct()
+    body = ("placed C O", "contains O P", "custIn C N", "supplies S P", "suppIn S N")
+    rule = Rule(Atom("near", "C", "S"), tuple(Atom(*x.split()) for x in body))
+    return bindings(rule, G.graph(spark, sf_dir, "placed", "contains", "supplies", "custIn", "suppIn"))
 
 
 @register(f"SELECT t AS entity, count(*) AS n FROM ({SUPPLIES}) GROUP BY t")
@@ -212,11 +232,12 @@ def known_filter_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.novel(G.relation(spark, sf_dir, "supplies"), known).select("h", "t")
 
 
-@register(f"SELECT c.h AS qid, row_number() OVER (ORDER BY c.h) % 4 <> 0 AS negative FROM ({CUST}) c")
+@register(f"SELECT c.h AS qid, i % 4 <> 0 AS negative, CASE WHEN i % 2 = 0 THEN 'head' ELSE 'tail' END AS mode FROM (SELECT h, row_number() OVER (ORDER BY h) AS i FROM ({CUST})) c")
 def label_alternation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every fourth query is a positive."""
-    c = G.relation(spark, sf_dir, "custIn")
-    return G.numbered(c, "h", "i", 1).select(F.col("h").alias("qid"), (F.col("i") % 4 != 0).alias("negative"))
+    """Every fourth query is a positive; modes come in turn."""
+    from ..operators.negatives import alternation
+
+    return alternation(spark, G.relation(spark, sf_dir, "custIn"), "h", 3).select(F.col("h").alias("qid"), "negative", "mode")
 
 
 @register(f"SELECT q.h AS qid, q.t AS h, e.t AS t, coalesce(d.n, -1) AS depth FROM ({CUST}) q JOIN ({REGION}) e ON q.t = e.h LEFT JOIN (SELECT n_nationkey, CAST(2 AS INTEGER) AS n FROM nation WHERE n_regionkey < 3) d ON e.h = 'n:' || d.n_nationkey")

@@ -83,3 +83,35 @@ def sampled_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten negatives a query in order of a hash: sampling is the feature here."""
     x = candidates(spark, sf_dir).where("not truth").select("qid", F.col("entity").cast("int").alias("entity"), (-F.col("tie")).alias("score"))
     return R.top_k(x, ["qid"], 10).select("qid", "entity")
+
+
+DOMAIN = "SELECT DISTINCT c_nationkey AS entity FROM customer WHERE c_custkey % 3 = 0"
+KNOWN = "SELECT c_custkey AS qid, (c_nationkey + 1) % 25 AS entity FROM customer"
+
+
+def _known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("qid"), ((F.col("c_nationkey") + 1) % 25).cast("long").alias("entity"))
+
+
+COUNTED = "r AS (SELECT x.qid, count(*) FILTER (WHERE NOT truth AND score > s) AS g, count(*) FILTER (WHERE NOT truth AND score = s) AS e FROM x JOIN (SELECT qid, score AS s FROM x WHERE truth) t ON x.qid = t.qid GROUP BY x.qid) SELECT qid, g + 1 AS optimistic, g + 1 + e / 2 AS realistic, g + 1 + e AS pessimistic FROM r WHERE qid IN (SELECT qid FROM x WHERE NOT truth)"
+
+
+@register(f"WITH x AS (SELECT * FROM ({CAND}) WHERE (truth OR entity IN ({DOMAIN})) AND (truth OR (qid, entity) NOT IN ({KNOWN}))), {COUNTED}")
+def domain_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks among the tails that every third customer has, less known ones."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey % 3 = 0")
+    domain = c.select(F.lit("custIn").alias("pred"), F.col("c_nationkey").cast("long").alias("entity"))
+    return R.domain_ranks(candidates(spark, sf_dir).withColumn("pred", F.lit("custIn")), domain, ["qid"], _known(spark, sf_dir))
+
+
+@register(f"WITH a AS (SELECT * FROM ({CAND}) WHERE truth OR (qid, entity) NOT IN ({KNOWN})), x AS (SELECT * FROM a QUALIFY truth OR row_number() OVER (PARTITION BY qid, truth ORDER BY tie, entity) <= 8), {COUNTED}")
+def sampled_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks among eight others of a query that aren't known: sampling is the feature."""
+    return R.sampled_ranks(candidates(spark, sf_dir), 8, ["qid"], _known(spark, sf_dir))
+
+
+@register(f"WITH x AS (SELECT *, CASE WHEN entity % 7 = 3 AND NOT truth THEN -1e308 ELSE score END AS s2 FROM ({CAND})) SELECT qid, rank FROM (SELECT qid, truth, row_number() OVER (PARTITION BY qid ORDER BY s2 DESC, tie DESC, truth DESC) AS rank FROM x) WHERE truth")
+def sort_position_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of the truth where every seventh nation is masked."""
+    x = candidates(spark, sf_dir).withColumn("masked", (F.col("entity") % 7 == 3) & ~F.col("truth"))
+    return R.sorted_position(x, ["qid"])

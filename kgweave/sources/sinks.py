@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Clauses by which a Prolog system resolves one goal of a list in all ways.
+ONE_STEP = (
+    "one_step_list([G|Gs], Next) :- findall(N, (clause(G, B), one_step_body(B, As), append(As, Gs, N)), Next).",
+    "one_step_body((A, B), [A|As]) :- !, one_step_body(B, As).",
+    "one_step_body(true, []) :- !.",
+    "one_step_body(A, [A]).",
+)
+
+
 def atom_text(pred: str = "pred", h: str = "h", t: str = "t"):
     return F.format_string("%s(%s,%s)", F.col(pred), F.col(h), F.col(t))
 
@@ -25,8 +34,10 @@ def write_soft_facts(soft: DataFrame, path: str) -> None:
     soft.select(F.col("pred").alias("predicate"), F.col("h").alias("head"), F.col("t").alias("tail"), "score", "rank").write.mode("overwrite").partitionBy("predicate").parquet(path)
 
 
-def program_lines(facts: DataFrame, rules: DataFrame, table: bool = False) -> DataFrame:
-    """``part, value`` of a Prolog program: directives, quoted facts, rules; order by part, value.
+def program_lines(facts: DataFrame, rules: DataFrame, table: bool = False, helper: bool = False) -> DataFrame:
+    """``part, value`` of a Prolog program: directives, quoted facts, rules, and with ``helper`` the
+    clauses ``one_step_list``, which resolve the first of a list of goals by every fact and rule;
+    order by part, value.
 
     rules: (head, body) of upper-cased atoms. Leading underscores of predicates go.
     """
@@ -37,7 +48,10 @@ def program_lines(facts: DataFrame, rules: DataFrame, table: bool = False) -> Da
     body = facts.select(F.lit(1).alias("part"), F.format_string('%s("%s","%s").', name(F.col("pred")), F.col("h"), F.col("t")).alias("value"))
     atom = lambda x: F.format_string("%s(%s,%s)", name(x["p"]), x["a"], x["b"])
     clauses = rules.select(F.lit(2).alias("part"), F.concat(atom(F.col("head")), F.lit(" :- "), F.array_join(F.transform("body", atom), ", "), F.lit(".")).alias("value"))
-    return heads.union(body).union(clauses)
+    out = heads.union(body).union(clauses)
+    if helper:
+        out = out.union(facts.sparkSession.range(1).select(F.lit(3), F.explode(F.array(*map(F.lit, ONE_STEP)))))
+    return out
 
 
 def metric_table(metrics: DataFrame) -> str:
@@ -46,6 +60,54 @@ def metric_table(metrics: DataFrame) -> str:
     return "\n".join("| " + " | ".join(r) + " |" for r in rows)
 
 
+def metric_report(metrics: DataFrame, by: tuple[str, ...] = ("dataset", "split"), order: str = "depth") -> str:
+    """Markdown with a section and a table for each value of ``by``, rows in order of ``order``.
+
+    metrics: a small frame, a row for each dataset, split and depth.
+    """
+    rest = [c for c in metrics.columns if c not in by]
+    parts = []
+    for keys in sorted(metrics.select(*by).distinct().collect()):
+        some = metrics
+        for c, v in zip(by, keys, strict=True):
+            some = some.where(F.col(c) == v)
+        parts.append("## " + ", ".join(f"{c} {v}" for c, v in zip(by, keys, strict=True)) + "\n\n" + metric_table(some.orderBy(order).select(*rest)))
+    return "\n\n".join(parts) + "\n"
+
+
+def run_rows(runs: DataFrame, keys: list[str]) -> DataFrame:
+    """A row of each experiment with ``[mean, std]`` of its metrics, rounded to three places.
+
+    runs: (keys, metric, value), a value of each seed; deviations are of the population.
+    """
+    text = F.format_string("[%s, %s]", F.round(F.avg("value"), 3).cast("string"), F.round(F.stddev_pop("value"), 3).cast("string"))
+    names = [r.metric for r in runs.select("metric").distinct().orderBy("metric").collect()]
+    return runs.groupBy(*keys).pivot("metric", names).agg(text)
+
+
 def write_runs(runs: DataFrame, path: str) -> None:
     """Append run metrics as ``;``-separated text with a header."""
     runs.write.mode("append").option("sep", ";").option("header", True).csv(path)
+
+
+class Checkpoints:
+    """Parameters under a folder, by step, with the metrics they reached; the best can be restored."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def save(self, step: int, params: DataFrame, metrics: dict[str, float]) -> None:
+        """params: (name, values). Metrics go last, so a step without them was not saved whole."""
+        params.write.mode("overwrite").parquet(f"{self.path}/params/step={step}")
+        rows = [(step, k, float(v)) for k, v in sorted(metrics.items())]
+        self.spark.createDataFrame(rows, "step long, metric string, value double").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/metrics/saved={step}")
+
+    def metrics(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/metrics").select("step", "metric", "value")
+
+    def best(self, metric: str) -> int:
+        """The first step of those with the greatest value."""
+        return self.metrics().where(F.col("metric") == metric).orderBy(F.col("value").desc(), "step").first().step
+
+    def restore(self, metric: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/params/step={self.best(metric)}")

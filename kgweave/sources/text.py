@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.ordered import numbered
+
 ATOM = r"([^()]+)\(([^()]*)\)"
 
 
@@ -14,10 +18,25 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_numbered(spark: SparkSession, path: str) -> DataFrame:
-    """line (from 0) and ``value``: for rule, query and depth files, whose order counts. A file is
-    one row here, so they must fit a task; facts are read by ``read_lines``."""
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.posexplode(F.split("value", r"\r?\n", -1)).alias("line", "value"))
+    """line (from 0) and ``value``: for rule, query and depth files, whose order counts.
+
+    A file is read in splits; its lines are numbered by the split's place in it and their order in
+    the split. Several files follow one another in order of their paths.
+    """
+    x = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i"))
+    return numbered(spark, x, ["_f", "_b", "_i"], "line").select("line", "value")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def query_file(spark: SparkSession, path: str, depths: set[int] | None = None, limit: int | None = None) -> DataFrame:
+    """``queries`` of a file, or, where ``<file>_depths.txt`` is beside it, of that file in its place:
+    a query that it does not list is gone."""
+    beside = re.sub(r"\.[^./]*$", "", path) + "_depths.txt"
+    return queries(read_numbered(spark, beside if exists(spark, beside) else path), depths, limit)
 
 
 def _clean_args(inside: Column) -> Column:
@@ -33,14 +52,19 @@ def parse_atom(value: Column) -> Column:
     return F.when(s.rlike(r"^[^(]*\(.*\)$") & (pred != ""), F.struct(pred.alias("pred"), _clean_args(inside).alias("args"))).otherwise(plain)
 
 
+def _atom_lines(lines: DataFrame) -> DataFrame:
+    """x: the atoms of lines that are facts of any number of arguments."""
+    v = F.trim("value")
+    skip = (v == "") | v.startswith("%") | v.startswith("one_step") | v.contains(":-") | v.contains("findall") | v.rlike(r"^\W+$")
+    return lines.where(~skip).select(parse_atom(v).alias("x")).where("x is not null")
+
+
 def facts(lines: DataFrame) -> DataFrame:
     """(pred, h, t) of the lines (value) that are binary facts.
 
     Blank lines, comments, directives, rules, helper clauses and what doesn't parse are skipped.
     """
-    v = F.trim("value")
-    skip = (v == "") | v.startswith("%") | v.startswith("one_step") | v.contains(":-") | v.contains("findall") | v.rlike(r"^\W+$")
-    atom = lines.where(~skip).select(parse_atom(v).alias("x")).where("x is not null and size(x.args) = 2")
+    atom = _atom_lines(lines).where("size(x.args) = 2")
     return atom.select(F.col("x.pred").alias("pred"), F.col("x.args")[0].alias("h"), F.col("x.args")[1].alias("t"))
 
 
@@ -119,15 +143,55 @@ def domains(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return each.groupBy("entity").agg(F.max_by("domain", "line").alias("domain")).select("domain", "entity"), of_preds
 
 
+def program(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Facts (pred, h, t) and rules (head, body) of one file (value) that holds both; directives and
+    helper clauses are neither."""
+    v = F.trim("value")
+    clause = v.contains(":-") & ~v.startswith(":-") & ~v.startswith("one_step") & ~v.contains("findall")
+    return facts(lines), rules(lines.where(clause))
+
+
+def score_table(spark: SparkSession, path: str) -> DataFrame:
+    """(pred, h, t, score) of a tab-separated file of atoms and scores, with a header ``atom score`` or
+    none. What is no number or no binary atom is skipped; of lines that repeat an atom the last counts."""
+    p = F.split("value", "\t")
+    x = read_numbered(spark, path).select("line", parse_atom(F.get(p, F.lit(0))).alias("x"), F.get(p, F.lit(1)).try_cast("double").alias("score"))
+    x = x.where("x is not null and size(x.args) = 2 and score is not null")
+    return x.groupBy(F.col("x.pred").alias("pred"), F.col("x.args")[0].alias("h"), F.col("x.args")[1].alias("t")).agg(F.max_by("score", "line").alias("score"))
+
+
+def id_map(spark: SparkSession, path: str) -> DataFrame:
+    """(name, id) of a JSON object of ids, as models are saved with."""
+    whole = spark.read.text(path, wholetext=True)
+    return whole.select(F.explode(F.from_json("value", "map<string,bigint>")).alias("name", "id"))
+
+
+def config(spark: SparkSession, path: str) -> DataFrame:
+    """(key, value) of a JSON configuration: keys of nested objects joined by dots, values as text."""
+    x = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("key", "value"))
+    done = None
+    while True:
+        inner = F.col("value").startswith("{")
+        flat = x.where(~F.coalesce(inner, F.lit(False)))
+        done = flat if done is None else done.unionAll(flat)
+        nested = x.where(inner)
+        if nested.isEmpty():
+            return done
+        x = nested.select("key", F.explode(F.from_json("value", "map<string,string>")).alias("k", "value")).select(F.concat_ws(".", "key", "k").alias("key"), "value")
+
+
 def triples(spark: SparkSession, path: str) -> DataFrame:
     """(pred, h, t) of a file in the format that its first line that isn't blank shows: tab- or
-    comma-separated head, relation, tail, or facts."""
+    comma-separated head, relation, tail, or facts; facts that are not binary are an error."""
     lines = read_lines(spark, path).where(F.trim("value") != "")
     first = lines.first()
     sep = "\t" if first and first.value.count("\t") >= 2 else "," if first and first.value.count(",") >= 2 and "(" not in first.value else None
     if sep is None:
+        odd = _atom_lines(lines).where("size(x.args) <> 2").select("x.pred").limit(5).collect()
+        if odd:
+            raise ValueError(f"predicates that are not binary, among: {[r.pred for r in odd]}")
         return facts(lines)
-    p = F.transform(F.split("value", sep), F.trim)
+    p = F.transform(F.split("value", sep), lambda x: F.trim(x))
     return lines.select(p.alias("p")).where("size(p) >= 3").select(F.col("p")[1].alias("pred"), F.col("p")[0].alias("h"), F.col("p")[2].alias("t"))
 
 
@@ -147,10 +211,10 @@ def run_log(lines: DataFrame) -> DataFrame:
 
 def sorted_ids(names: DataFrame) -> DataFrame:
     """(name, id): ids from 1 in order of name; 0 is left for padding."""
-    return names.distinct().select("name", F.row_number().over(Window.orderBy("name")).alias("id"))
+    return numbered(names.sparkSession, names.select("name").distinct(), ["name"], "id", 1)
 
 
 def appearance_ids(names: DataFrame) -> DataFrame:
     """(name, id): ids from 0 in order of first appearance (line, name)."""
     first = names.groupBy("name").agg(F.min("line").alias("line"))
-    return first.select("name", (F.row_number().over(Window.orderBy("line", "name")) - 1).alias("id"))
+    return numbered(names.sparkSession, first, ["line", "name"], "id").select("name", F.col("id").cast("int").alias("id"))
