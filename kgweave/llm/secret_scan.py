@@ -1,42 +1,39 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
-All of a scan is DataFrame expressions. Words that may hold a secret are found with their offsets
-and neighbours; features are lengths, kinds of character and transitions between them, cover by
-the corpus' own frequent words, the path and the neighbouring words. A forest grown on the driver
-from a bounded sample of labelled findings is compiled to one SQL expression, which scores every
-candidate inside the scan.
+All of a scan is DataFrame expressions. Every long run of characters that secrets are made of is a
+candidate, with its offset and neighbours. Features are its length, kinds of character and
+transitions between them, cover by the corpus' own frequent words, the path and the neighbouring
+words. A forest grown on the driver from a bounded sample of labelled findings is compiled to one
+SQL expression, which scores every candidate inside the scan.
 """
 
 from __future__ import annotations
 
+import json
 import random
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .secret_samples import samples
 
-#: A candidate: a run of these characters with a digit in it, of LEAST or more and any length.
-RUN = r"[A-Za-z0-9+/_\-]*[0-9][A-Za-z0-9+/_\-]*"
-LEAST, MOST = 8, (1 << 31) - 1
-_OTHER = r"[^A-Za-z0-9+/_\-]"
-_SPACE = r"[\x20\x09-\x0D]"
-#: A cheap test: texts without such a run are not split into words.
-_MAYBE = r"[A-Za-z0-9+/_\-]{8}"
+#: A candidate: a run of these characters, of LEAST or more and any length.
+LEAST = 8
+RUN = r"[A-Za-z0-9+/_\-]{8,}"
+#: Characters of the neighbouring words that are looked at on either side.
+BEFORE, AFTER = 40, 24
 
 # Words that speak for or against a secret beside them, or in a path.
 KEYWORDS = r"(?i)(pass(word|wd|phrase)?|pwd|secret|token|api[_\-]?key|access[_\-]?key|auth|bearer|credential|private)"
-DECOYS = r"(?i)(example|sample|dummy|fake|placeholder|changeme|xxxx|uuid|guid|sha\d*|md5|commit|checksum|version|phone|isbn|doi)"
+DECOYS = r"(?i)(example|sample|dummy|fake|placeholder|changeme|your|xxxx|uuid|guid|sha\d*|md5|commit|checksum|version|phone|isbn|doi|https?)"
 PATHS = r"(?i)(test|example|sample|doc|fixture|mock|demo)"
-# Formats that a finding is labelled by, if no human label is given.
-LABELLED = (r"^AKIA[0-9A-Z]{16}$", r"^gh[pousr]_[A-Za-z0-9]{36}$", r"^sk-[A-Za-z0-9]{20,}$", r"^xox[abprs]-[A-Za-z0-9\-]{10,}$")
 
 #: Frequent words that make up the dictionary; shorter ones are none.
 DICTIONARY, WORD = 2000, 3
 #: Labelled findings of each class a forest is grown from, at most, by a hash of their place; its size.
-FIT_ROWS, TREES, DEPTH, LEAF, SEED = 6000, 16, 6, 5, 11
+FIT_ROWS, TREES, DEPTH, LEAF, SEED = 6000, 16, 7, 3, 11
 
-FEATURES = ("length", "digits", "upper", "lower", "symbols", "turns_lower_digit", "turns_upper_digit", "turns_case", "hex_only", "digits_only", "covered", "assigned", "quoted", "keyword_near", "decoy_near", "path_decoy", "at_sign", "dots")
+FEATURES = ("length", "digits", "upper", "lower", "symbols", "turns_lower_digit", "turns_upper_digit", "turns_case", "vowels", "turns_vowel", "hex_only", "digits_only", "covered", "assigned", "quoted", "keyword_near", "keyword_own", "decoy_near", "decoy_own", "path_decoy", "at_sign", "dots", "slashes")
 
 
 def dictionary(docs: DataFrame) -> list[str]:
@@ -45,69 +42,77 @@ def dictionary(docs: DataFrame) -> list[str]:
     return [r.w for r in words.groupBy("w").count().orderBy(F.col("count").desc(), "w").limit(DICTIONARY).collect()]
 
 
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is computed once a row, however often lambdas use it."""
+    return df.select(*df.columns, F.explode(F.array(value)).alias(name))
+
+
 def candidates(docs: DataFrame, known: list[str], path: str) -> DataFrame:
     """doc_id, start, value and FEATURES of every candidate in ``docs`` (doc_id, text, path).
 
-    A word is what stands between white space; each run in it is a candidate, however long. What
-    stands between it and the run before it in the word, or the word's start, is its head. start:
-    characters of the text before it.
+    The text is cut at its candidates, so what stands between two is a piece; neighbouring words are
+    the ends of pieces. start: characters of the text before it, summed over blocks of the pieces'
+    lengths, so that a text with n candidates takes steps of n times the root of n.
     """
     text = F.col("text").cast("string")
-    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path")).where(text.rlike(_MAYBE) & text.rlike("[0-9]"))
-    # The explode keeps the array of words a column, so it is split once a text.
-    split = some.select("doc_id", "path", F.explode(F.array(F.split("text", _SPACE, -1))).alias("words"))
-    runs = lambda w: F.filter(F.regexp_extract_all(w, F.lit(RUN), F.lit(0)), lambda r: F.length(r) >= LEAST)
-    at = F.transform("words", lambda w, i: F.when((F.length(w) >= LEAST) & w.rlike("[0-9]"), F.struct(i.alias("i"), runs(w).alias("runs"))))
-    found = split.select("doc_id", "path", "words", F.explode(F.filter(at, lambda x: x.isNotNull() & (F.size(x["runs"]) > 0))).alias("c"))
-    near = lambda k: F.coalesce(F.get("words", F.col("c.i") + k), F.lit(""))
-    before = F.aggregate(F.slice("words", 1, F.col("c.i")), F.lit(0).cast("long"), lambda a, w: a + F.length(w) + 1)
-    x = found.select("doc_id", "path", near(0).alias("word"), before.alias("before"), near(-1).alias("p1"), near(-2).alias("p2"), near(1).alias("n1"))
-    # Every other character ends a piece, so a run is a piece and starts behind the pieces before it.
-    x = x.select("*", F.explode(F.array(F.split("word", _OTHER, -1))).alias("pieces"))
-    ends = lambda i: F.aggregate(F.slice("pieces", 1, i), F.lit(1), lambda a, w: a + F.length(w) + 1)
-    parts = F.transform("pieces", lambda w, i: F.when((F.length(w) >= LEAST) & w.rlike("[0-9]"), F.struct(w.alias("value"), ends(i).alias("cut"))))
-    x = x.select(*[c for c in x.columns if c != "pieces"], F.explode(F.array(F.filter(parts, lambda r: r.isNotNull()))).alias("all"))
-    x = x.select("*", F.posexplode("all").alias("k", "run")).withColumn("last", F.get("all", F.col("k") - 1))
-    x = x.select("*", F.col("run.value").alias("value"), F.col("run.cut").alias("cut"), F.coalesce(F.col("last.cut") + F.length("last.value"), F.lit(1)).alias("from"))
+    x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"), text.alias("text")).where(text.rlike(RUN))
+    x = _once(x, "cut", F.struct(F.regexp_extract_all("text", F.lit(RUN), F.lit(0)).alias("runs"), F.split("text", RUN, -1).alias("gaps")))
+    x = x.select("doc_id", "path", F.col("cut.runs").alias("runs"), F.col("cut.gaps").alias("gaps"))
+    total = lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda a, n: a + n)
+    x = _once(x, "sizes", F.zip_with("gaps", "runs", lambda g, r: (F.length(g) + F.coalesce(F.length(r), F.lit(0))).cast("long")))
+    width = F.ceil(F.sqrt(F.size("runs"))).cast("int")
+    x = _once(x, "wide", width)
+    x = _once(x, "blocks", F.transform(F.sequence(F.lit(0), F.floor((F.size("runs") - 1) / F.col("wide")).cast("int")), lambda b: total(F.slice("sizes", b * F.col("wide") + 1, F.col("wide")))))
+
+    def at(name: str, i: Column) -> Column:
+        return F.coalesce(F.get(name, i), F.lit(""))
+
+    def one(run: Column, i: Column) -> Column:
+        block = F.floor(i / F.col("wide")).cast("int")
+        start = total(F.slice("blocks", F.lit(1), block)) + total(F.slice("sizes", block * F.col("wide") + 1, i - block * F.col("wide"))) + F.length(at("gaps", i))
+        # A piece may be long, so its end is cut off before it is joined to others.
+        before = F.concat(F.right(at("gaps", i - 1), F.lit(BEFORE)), F.right(at("runs", i - 1), F.lit(BEFORE)), F.right(at("gaps", i), F.lit(BEFORE)))
+        after = F.concat(F.left(at("gaps", i + 1), F.lit(AFTER)), F.left(at("runs", i + 1), F.lit(AFTER)))
+        return F.struct(start.alias("start"), run.alias("value"), F.right(before, F.lit(BEFORE)).alias("before"), F.left(after, F.lit(AFTER)).alias("after"))
+
+    x = x.select("doc_id", "path", F.explode(F.transform("runs", one)).alias("c"))
+    x = x.select("doc_id", "path", "c.start", "c.value", "c.before", "c.after")
     count = lambda pattern: F.regexp_count("value", F.lit(pattern)).cast("double")
+    has = lambda name, pattern: F.col(name).rlike(pattern).cast("double")
     size = F.length("value").cast("double")
-    parts = F.filter(F.split(F.lower("value"), r"[^a-z]+"), lambda w: F.length(w) >= WORD)
-    cover = F.aggregate(F.filter(parts, lambda w: F.array_contains(F.array(*map(F.lit, known)), w)) if known else F.array().cast("array<string>"), F.lit(0.0), lambda a, w: a + F.length(w))
-    head = F.expr("substr(word, `from`, cut - `from`)")
-    context = F.concat_ws(" ", "p2", "p1", head, "n1")
-    flag = lambda c: c.cast("double")
+    parts = F.filter(F.split(F.lower("value"), r"[^a-z]+"), lambda w: (F.length(w) >= WORD) & (w.isin(*known) if known else F.lit(False)))
     features = {
         "length": size,
         "digits": count("[0-9]") / size,
         "upper": count("[A-Z]") / size,
         "lower": count("[a-z]") / size,
         "symbols": count(r"[+/_\-]") / size,
-        "turns_lower_digit": (count("[a-z][0-9]") + count("[0-9][a-z]")) / size,
-        "turns_upper_digit": (count("[A-Z][0-9]") + count("[0-9][A-Z]")) / size,
-        "turns_case": (count("[a-z][A-Z]") + count("[A-Z][a-z]")) / size,
-        "hex_only": flag(F.col("value").rlike("^([0-9a-f]+|[0-9A-F]+)$")),
-        "digits_only": flag(F.col("value").rlike(r"^[0-9\-]+$")),
-        "covered": cover / size,
-        "assigned": flag(head.rlike("[=:]") | F.col("p1").rlike("[=:]$")),
-        "quoted": flag(F.col("word").rlike("[\"'`]")),
-        "keyword_near": flag(context.rlike(KEYWORDS)),
-        "decoy_near": flag(context.rlike(DECOYS)),
-        "path_decoy": flag(F.col("path").rlike(PATHS)),
-        "at_sign": flag(F.col("word").contains("@")),
-        "dots": F.regexp_count("word", F.lit(r"\.")).cast("double"),
+        "turns_lower_digit": count("[a-z](?=[0-9])|[0-9](?=[a-z])") / size,
+        "turns_upper_digit": count("[A-Z](?=[0-9])|[0-9](?=[A-Z])") / size,
+        "turns_case": count("[a-z](?=[A-Z])|[A-Z](?=[a-z])") / size,
+        "vowels": count("[aeiouAEIOU]") / size,
+        "turns_vowel": count("[aeiouAEIOU](?=[b-df-hj-np-tv-zB-DF-HJ-NP-TV-Z])") / size,
+        "hex_only": has("value", "^([0-9a-f\\-]+|[0-9A-F\\-]+)$"),
+        "digits_only": has("value", r"^[0-9+\-/]+$"),
+        "covered": F.aggregate(parts, F.lit(0.0), lambda a, w: a + F.length(w)) / size,
+        "assigned": has("before", "[=:][\\s\"'`]*$"),
+        "quoted": has("before", "[\"'`]$"),
+        "keyword_near": has("before", KEYWORDS),
+        "keyword_own": has("value", KEYWORDS),
+        "decoy_near": F.greatest(has("before", DECOYS), has("after", DECOYS)),
+        "decoy_own": has("value", DECOYS),
+        "path_decoy": has("path", PATHS),
+        "at_sign": F.greatest(has("before", "@[A-Za-z0-9.]*$"), has("after", "^[A-Za-z0-9.]*@")),
+        "dots": has("before", r"[A-Za-z0-9]\.$") + has("after", r"^\.[A-Za-z0-9]"),
+        "slashes": F.regexp_count("value", F.lit("/")).cast("double"),
     }
-    return x.select("doc_id", (F.col("before") + F.col("cut") - 1).alias("start"), "value", *[features[k].alias(k) for k in FEATURES])
+    return x.select("doc_id", "start", "value", *[features[k].alias(k) for k in FEATURES])
 
 
-def weak_label(found: DataFrame) -> DataFrame:
-    """Findings with ``label``: 1 for provider formats and for values that a keyword is assigned, 0
-    for addresses, numbers and words of the dictionary, null where neither is plain."""
-    provider = F.lit(False)
-    for pattern in LABELLED:
-        provider = provider | F.col("value").rlike(pattern)
-    given = (F.col("keyword_near") == 1) & (F.col("assigned") == 1) & (F.col("decoy_near") == 0) & (F.col("path_decoy") == 0) & (F.col("length") >= 12)
-    plain = (F.col("at_sign") == 1) | (F.col("digits_only") == 1) | (F.col("dots") >= 2) | (F.col("decoy_near") == 1) | (F.col("covered") > 0.5) | (F.col("length") < 12)
-    return found.withColumn("label", F.when(provider | given, 1).when(plain, 0))
+def shipped_findings(spark: SparkSession) -> DataFrame:
+    """Labelled findings that come with the library: text, path, start, label."""
+    rows = [{"text": t, "path": p, "start": i, "label": y} for t, p, i, y in samples()]
+    return spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), "array<struct<text:string,path:string,start:bigint,label:int>>")).alias("r")).select("r.*")
 
 
 def _gini(pos: float, n: float) -> float:
@@ -170,27 +175,38 @@ def forest_score(forest: list) -> Column:
     return total / len(forest)
 
 
-def scan(spark: SparkSession, docs: DataFrame, labelled: DataFrame | None = None, path: str = "source") -> DataFrame:
-    """Findings in ``docs`` (doc_id, text, ``path``): doc_id, start, length, value_md5, score, secret.
+def fitted(findings: DataFrame, known: list[str]) -> Column:
+    """The score of a forest grown from ``findings`` (text, path, start, label).
 
-    start and length are characters of the text; the value itself is not handed on. labelled:
-    findings (doc_id, start, label) to learn from; without it ``weak_label`` gives them. At most
-    FIT_ROWS of each label, by a hash of their place, are read to the driver, and are weighed by
-    how many there are of it. score is the forest's
-    mean, secret means 0.5 or more. Null and empty texts have no finding. A null path is empty. Repeated rows give repeated findings. An empty table gives
-    none. No shuffle but for the dictionary's counts, which are summed before it.
+    At most FIT_ROWS of each label, by a hash of their place, are read to the driver, and are
+    weighed by how many there are of it.
     """
-    scratch = Scratch(spark, "secrets")
-    found = scratch.table(candidates(docs, dictionary(docs), path), "candidates")
-    if labelled is None:
-        known = weak_label(found)
-    else:
-        known = found.join(labelled.select("doc_id", "start", F.col("label").cast("int").alias("label")), ["doc_id", "start"])
-    place = F.xxhash64("doc_id", "start", "value")
-    totals = {r.label: r.n for r in known.where("label is not null").groupBy("label").agg(F.count("*").alias("n")).collect()}
+    place = F.xxhash64("text", "path", "start")
+    rows = findings.select("text", "path", F.col("start").cast("long").alias("_at"), F.col("label").cast("int").alias("label"), place.alias("doc_id")).where(F.col("label").isin(0, 1))
+    totals = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     # Secrets are rare: each class is sampled by itself and weighs what it has in all.
-    sample = [r for c in (0, 1) for r in known.where(F.col("label") == c).orderBy(place, "doc_id", "start").limit(FIT_ROWS).select("label", *FEATURES).collect()]
+    chosen = None
+    for c in (0, 1):
+        some = rows.where(F.col("label") == c).orderBy("doc_id", "_at").limit(FIT_ROWS)
+        chosen = some if chosen is None else chosen.unionAll(some)
+    x = candidates(chosen, known, "path").join(chosen.select("doc_id", F.col("_at").alias("start"), "label"), ["doc_id", "start"])
+    sample = x.select("doc_id", "start", "label", *FEATURES).distinct().collect()
+    sample.sort(key=lambda r: (r.doc_id, r.start, r.label))
     weights = tuple(max(1.0, totals.get(c, 0) / FIT_ROWS) for c in (0, 1))
-    forest = grow_forest([tuple(r[k] for k in FEATURES) for r in sample], [r.label for r in sample], weights)
-    score = forest_score(forest)
-    return found.select("doc_id", "start", F.length("value").cast("long").alias("length"), F.md5("value").alias("value_md5"), score.alias("score")).withColumn("secret", F.col("score") >= 0.5)
+    return forest_score(grow_forest([tuple(r[k] for k in FEATURES) for r in sample], [r.label for r in sample], weights))
+
+
+def scan(spark: SparkSession, docs: DataFrame, findings: DataFrame | None = None, path: str = "source", least: float = 0.5) -> DataFrame:
+    """Secrets in ``docs`` (doc_id, text, ``path``): doc_id, start, length, value_md5, score.
+
+    Candidates with a forest's mean under ``least`` are false positives and are left out; 0 keeps
+    every candidate. start and length are characters of the text; the value itself is not handed
+    on. findings: labelled ones to learn from (text, path, start, label); by default the shipped
+    ones. Null and empty texts have no finding. A null path is empty. Texts are scanned whole,
+    whatever their length. Repeated rows give repeated findings. An empty table gives none. Other
+    columns are not read. No shuffle but for the dictionary's counts, which are summed before it.
+    """
+    known = dictionary(docs)
+    score = fitted(shipped_findings(spark) if findings is None else findings, known)
+    found = candidates(docs, known, path)
+    return found.select("doc_id", "start", F.length("value").cast("long").alias("length"), F.md5("value").alias("value_md5"), score.alias("score")).where(F.col("score") >= least)
