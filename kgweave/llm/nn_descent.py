@@ -2,10 +2,11 @@
 
 A graph of near neighbours starts from random projections and is refined by joins of neighbours'
 neighbours until it hardly changes. A vector whose list holds only links is saturated: there may
-be more, so its list is enlarged, up to all vectors of its component, compared in blocks. Recall
-is audited against brute force for every twentieth vector, and missed links lead to more rounds.
-Exact copies are one vector from the start, and counts of links are sums, so no pair of copies is
-ever made.
+be more, so its list is enlarged to all of its group and of every group whose ball may touch its
+own; those are compared in blocks, of which only sums go out. Links are then counted for a sample
+of vectors by brute force. While recall is too low there are more starts, and in the end all
+vectors are compared in blocks. Exact copies are one vector from the start, and counts of links
+are sums, so no pair of copies is ever made.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, small
 from .components import components
+from .simhash import Forest
 
 THRESHOLD = 0.95
 #: Neighbours in a list, random projections that start it, rounds at most before the audit.
@@ -27,13 +29,13 @@ NEIGHBOURS, TREES, ROUNDS = 10, 4, 6
 STEADY = 0.002
 #: Cosines of the descent are in single precision; nearer to the threshold they are taken again.
 ROUNDING = 1e-4
-#: Recall at which the audit is content, and extra rounds it may ask for.
-RECALL, EXTRA = 0.98, 3
-#: Vectors of each part of a dense group that meet those of other parts.
-PARTS = 8
+#: Recall at which the audit is content, starts it may ask for before all is compared, and the
+#: vectors it samples by a hash: so many at any size, a sum of whose links has a small error.
+RECALL, STARTS, AUDIT = 0.98, 3, 2000
 #: Vectors in a cell of a projection, and in one side of a block.
-CELL, BLOCK = 256, 4096
-AUDIT = 20
+CELL, BLOCK = 256, 2048
+#: Slack of cosines of centers, so that rounding leaves no pair of balls out.
+SLACK = 1e-9
 
 _PAIR = "a long, b long, s double"
 
@@ -212,73 +214,168 @@ def descend(nodes: DataFrame, scratch: Scratch, graph: DataFrame, k: int, rounds
     return graph
 
 
-def _blocked(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (group, left, right, side): vectors of two blocks of a group. Out: for
-    each vector of the left block, the summed weights of the right block's vectors it links to."""
-    sides: dict[int, list] = {0: [], 1: []}
-    now = None
+def _of_a_length(x: list[bytes], y: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Places in x and y of vectors of one length, and the vectors; for each length that both have."""
+    for dim in sorted({len(u) for u in x} & {len(u) for u in y}):
+        i, j = (np.flatnonzero([len(u) == dim for u in side]) for side in (x, y))
+        yield i, j, _unit([x[k] for k in i]), _unit([y[k] for k in j])
 
-    def flush() -> Iterator[pa.RecordBatch]:
-        if sides[0] and sides[1]:
-            a, b = (np.array([r[0] for r in sides[i]]) for i in (0, 1))
-            w = np.array([r[2] for r in sides[1]], np.int64)
-            x, y = (_unit([r[1] for r in sides[i]]) for i in (0, 1))
-            for i in range(0, len(a), 512):
-                link = (x[i : i + 512] @ y.T >= least) & (a[i : i + 512, None] != b)
-                yield pa.RecordBatch.from_arrays([pa.array(a[i : i + 512]), pa.array(link @ w, pa.int64())], ["node", "n"])
-        sides[0], sides[1] = [], []
 
+def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list, list]]:
+    """Rows come sorted by (p, q, l, r, side): the key and both sides' (node, unit, weight)."""
+    sides: tuple[list, list] = ([], [])
+    now = None
     for batch in batches:
-        for g, left, right, side, *row in zip(*(batch.column(c).to_pylist() for c in ("g", "l", "r", "side", "node", "unit", "weight")), strict=True):
-            if (g, left, right) != now:
-                yield from flush()
-                now = (g, left, right)
+        names = ("p", "q", "l", "r", "side", "node", "unit", "weight")
+        for p, q, left, right, side, *row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+            if (p, q, left, right) != now:
+                if sides[0] and sides[1]:
+                    yield now, *sides
+                now, sides = (p, q, left, right), ([], [])
             sides[side].append(row)
-    yield from flush()
+    if sides[0] and sides[1]:
+        yield now, *sides
+
+
+_LINKED = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+
+
+def _linked(batches: Iterator[pa.RecordBatch], least: float, whole: bool) -> Iterator[pa.RecordBatch]:
+    """Of every pair of blocks: (node, n), the weights of the other block's vectors that a vector
+    links to; and links (a, b): one of the groups if they have any, or with ``whole`` a forest of nodes."""
+    for (p, q, left, right), one, two in _block_pairs(batches):
+        same = p == q and left == right
+        for i, j, x, y in _of_a_length([r[1] for r in one], [r[1] for r in two]):
+            a, b = (np.array([side[k][0] for k in at]) for side, at in ((one, i), (two, j)))
+            wa, wb = (np.array([side[k][2] for k in at], np.int64) for side, at in ((one, i), (two, j)))
+            back, forest = np.zeros(len(b), np.int64), Forest(len(a) + len(b))
+            found = False
+            for at in range(0, len(a), 512):
+                link = (x[at : at + 512] @ y.T >= least) & (a[at : at + 512, None] != b)
+                yield _counts(a[at : at + 512], link @ wb)
+                back += wa[at : at + 512] @ link
+                found = found or bool(link.any())
+                if whole:
+                    u, v = np.nonzero(link)
+                    for k in range(0, len(u), 1 << 15):
+                        forest.link(u[k : k + (1 << 15)] + at, v[k : k + (1 << 15)] + len(a))
+            if not same:
+                yield _counts(b, back)
+            if whole:
+                nodes = np.concatenate([a, b])
+                tied = np.flatnonzero(forest.root != np.arange(len(nodes)))
+                yield _ties(nodes[tied], nodes[forest.root[tied]])
+            elif found and p != q:
+                yield _ties(np.array([p]), np.array([q]))
+
+
+def _counts(node: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    keep = n > 0
+    none = pa.nulls(int(keep.sum()), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(node[keep], pa.int64()), pa.array(n[keep], pa.int64()), none, none], schema=_LINKED)
+
+
+def _ties(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    none = pa.nulls(len(a), pa.int64())
+    return pa.RecordBatch.from_arrays([none, none, pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=_LINKED)
+
+
+def _touching(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Pairs (p, q), p < q, of balls that may hold vectors within ``least`` of one another. A ball's
+    node is its group, its weight the cosine to its farthest vector."""
+    reach = np.arccos(least)
+    for _, one, two in _block_pairs(batches):
+        for i, j, x, y in _of_a_length([r[1] for r in one], [r[1] for r in two]):
+            a, b = (np.array([side[k][0] for k in at]) for side, at in ((one, i), (two, j)))
+            ra, rb = (np.arccos(np.clip([side[k][2] for k in at], -1, 1)) for side, at in ((one, i), (two, j)))
+            for at in range(0, len(a), 512):
+                far = np.minimum(ra[at : at + 512, None] + rb + reach, np.pi)
+                u, v = np.nonzero((x[at : at + 512] @ y.T >= np.cos(far) - SLACK) & (a[at : at + 512, None] != b))
+                low, high = np.minimum(a[at + u], b[v]), np.maximum(a[at + u], b[v])
+                yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], ["p", "q"])
+
+
+def _dealt(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """rows: g, node, unit, weight; pairs: (p, q) of groups, p <= q. Groups are dealt into blocks by
+    hash, and each pair of blocks of a pair of groups is one key; of a group with itself, once."""
+    size = rows.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    of = pairs.join(size.toDF("p", "np"), "p").join(size.toDF("q", "nq"), "q")
+    x = rows.join(small(size), "g").select("g", "node", "unit", "weight", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("k"))
+    same = F.col("p") == F.col("q")
+    to = lambda least, most, make: F.explode(F.transform(F.sequence(least, most), make)).alias("o")
+    end = lambda left, right, side: F.struct(left.alias("l"), right.alias("r"), F.lit(side).alias("side"))
+    zero, k = F.lit(0), F.col("k")
+    one = x.join(small(of), x.g == of.p).select("p", "q", "node", "unit", "weight", to(F.when(same, k).otherwise(zero), F.col("nq") - 1, lambda o: end(k, o, 0)))
+    two = x.join(small(of), x.g == of.q).select("p", "q", "node", "unit", "weight", to(zero, F.when(same, k).otherwise(F.col("np") - 1), lambda o: end(o, k, 1)))
+    keys = ("p", "q", "l", "r")
+    return one.unionAll(two).select("p", "q", "o.l", "o.r", "o.side", "node", "unit", "weight").repartition(*keys).sortWithinPartitions(*keys, "side")
+
+
+def _ball_pairs(members: DataFrame, scratch: Scratch, least: float) -> DataFrame:
+    """(p, q), p <= q: every group with itself and with those whose balls may touch its own.
+
+    members: g, node, unit, weight; g is one of the group's nodes, the center of its ball.
+    """
+    centers = members.where("node = g").select(F.col("g").alias("c"), F.col("unit").alias("x"))
+    near = members.join(small(centers, F.length("x") + 8), members.g == F.col("c")).select(F.col("g").alias("a"), F.col("node").alias("b"), "x", F.col("unit").alias("y"))
+    radius = near.mapInArrow(_dots, _PAIR).groupBy(F.col("a").alias("node")).agg(F.min("s").alias("weight"))
+    balls = centers.join(radius, centers.c == radius.node).select(F.lit(0).cast("long").alias("g"), "node", F.col("x").alias("unit"), "weight")
+    balls = scratch.table(balls, "balls")
+    all_ = balls.select(F.col("g").alias("p"), F.col("g").alias("q")).distinct()
+    touching = _dealt(balls, all_).mapInArrow(lambda it: _touching(it, least), "p long, q long").distinct()
+    return scratch.table(touching.unionAll(balls.select(F.col("node").alias("p"), F.col("node").alias("q"))), "ball-pairs")
+
+
+def _grown(graph: DataFrame, nodes: DataFrame, scratch: Scratch, least: float, k: int) -> DataFrame:
+    """(node, root, n): component, and summed weights of the vectors that a node links to."""
+    links = scratch.table(_exact(graph, nodes, least), "links")
+    tied = scratch.table(components(links, scratch), "tied")
+    roots = nodes.join(tied, "node", "left").select("node", "weight", "unit", F.coalesce("root", "node").alias("g"))
+    full = graph.groupBy("a").agg(F.min("s").alias("s"), F.count("*").alias("n")).where((F.col("n") >= k) & (F.col("s") >= least - ROUNDING)).select(F.col("a").alias("node"))
+    dense = roots.join(full, "node", "left_semi").select("g").distinct()
+    members = scratch.table(roots.join(small(dense), "g", "left_semi").select("g", "node", "unit", "weight"), "members")
+    pairs = _ball_pairs(members, scratch, least)
+    met = scratch.table(_dealt(members, pairs).mapInArrow(lambda it: _linked(it, least, False), _MET), "met")
+    grown = met.where("node is not null").groupBy("node").agg(F.sum("n").alias("n"))
+    joined = scratch.table(components(met.where("a is not null").select("a", "b").distinct(), scratch), "joined").toDF("g", "final")
+    # Links of a vector of no dense group are all in the graph; those of the others were counted anew.
+    ends = links.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p")).select("p.a", "p.b")
+    counted = ends.join(nodes.select(F.col("node").alias("b"), "weight"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("m"))
+    out = roots.select("node", "g").join(grown, "node", "left").join(counted, "node", "left").join(small(joined), "g", "left")
+    return scratch.table(out.select("node", F.coalesce("final", "g").alias("root"), F.coalesce("n", "m", F.lit(0)).alias("n")), "grown")
 
 
-def _linked_in(group: DataFrame, least: float) -> DataFrame:
-    """(node, n): weights of all other vectors of a node's group that it links to.
+def _compared(nodes: DataFrame, scratch: Scratch, least: float) -> DataFrame:
+    """(node, root, n) by comparing all vectors in blocks."""
+    rows = nodes.select(F.lit(0).cast("long").alias("g"), "node", "unit", "weight")
+    one = rows.select(F.col("g").alias("p"), F.col("g").alias("q")).distinct()
+    met = scratch.table(_dealt(rows, one).mapInArrow(lambda it: _linked(it, least, True), _MET), "met")
+    tied = components(met.where("a is not null").select("a", "b"), scratch)
+    n = met.where("node is not null").groupBy("node").agg(F.sum("n").alias("n"))
+    out = nodes.select("node").join(tied, "node", "left").join(n, "node", "left")
+    return scratch.table(out.select("node", F.coalesce("root", "node").alias("root"), F.coalesce("n", F.lit(0)).alias("n")), "compared")
 
-    group: g, node, unit, weight. A group is dealt into blocks by hash and every ordered pair of
-    its blocks is one small matrix product; only sums leave it.
-    """
-    size = group.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    x = group.join(small(size), "g").withColumn("k", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    both = x.select("g", "node", "unit", "weight", F.explode(F.concat(F.transform(every, lambda o: F.struct(F.col("k").alias("l"), o.alias("r"), F.lit(0).alias("side"))), F.transform(every, lambda o: F.struct(o.alias("l"), F.col("k").alias("r"), F.lit(1).alias("side"))))).alias("p"))
-    dealt = both.select("g", "p.l", "p.r", "p.side", "node", "unit", "weight").repartition("g", "l", "r").sortWithinPartitions("g", "l", "r", "side")
-    return dealt.mapInArrow(lambda it: _blocked(it, least), "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
 
+_MET = "node long, n long, a long, b long"
 
-def audit(spark: SparkSession, nodes: DataFrame, links: DataFrame, least: float, k: int) -> float:
-    """Recall of the links of every AUDIT-th vector, by brute force against all vectors.
 
-    The queries go round in broadcasts of 8 BLOCK vectors, and each block meets every row once. A
-    vector counts for k links at most, as its list holds no more before it is enlarged.
-    """
-    rows, truth = nodes.where(F.pmod("node", F.lit(AUDIT)) == 0).select("node", "unit").toLocalIterator(), None
-    while block := [r for _, r in zip(range(8 * BLOCK), rows, strict=False)]:
-        shared = spark.sparkContext.broadcast(([r.node for r in block], [bytes(r.unit) for r in block]))
-
-        def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, units = np.array(shared.value[0]), shared.value[1]
-            for batch in batches:
-                mine, own = batch.column("node").to_numpy(), batch.column("unit").to_pylist()
-                for dim in {len(u) for u in units}:
-                    q = np.flatnonzero([len(u) == dim for u in units])
-                    r = np.flatnonzero([len(u) == dim for u in own])
-                    if len(r):
-                        n = (_unit([units[i] for i in q]) @ _unit([own[i] for i in r]).T >= least) & (ids[q][:, None] != mine[r])
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(n.sum(1))], ["a", "n"])
-
-        found = nodes.select("node", "unit").mapInArrow(find, "a long, n long")
-        truth = found if truth is None else truth.unionAll(found)
-    if truth is None:
+def audit(spark: SparkSession, nodes: DataFrame, counted: DataFrame, least: float) -> float:
+    """Recall of links (node, n) of AUDIT nodes, chosen by hash, by brute force against all nodes."""
+    some = nodes.orderBy(F.xxhash64(F.col("node") + 1), "node").limit(AUDIT).select("node", "unit").collect()
+    if not some:
         return 1.0
-    want = truth.groupBy("a").agg(F.least(F.sum("n"), F.lit(k)).alias("want"))
-    have = links.select(F.explode(F.array("a", "b")).alias("a")).groupBy("a").agg(F.count("*").alias("have"))
-    r = want.join(have, "a", "left").agg(F.sum("want").alias("w"), F.sum(F.least("want", F.coalesce("have", F.lit(0)))).alias("h")).first()
+    shared = spark.sparkContext.broadcast(([r.node for r in some], [bytes(r.unit) for r in some]))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, units = np.array(shared.value[0]), shared.value[1]
+        for batch in batches:
+            mine, weight, own = batch.column("node").to_numpy(), batch.column("weight").to_numpy(), batch.column("unit").to_pylist()
+            for i, j, x, y in _of_a_length(units, own):
+                link = (x @ y.T >= least) & (ids[i][:, None] != mine[j])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(link @ weight[j], pa.int64())], ["node", "want"])
+
+    want = nodes.select("node", "unit", "weight").mapInArrow(find, "node long, want long").groupBy("node").agg(F.sum("want").alias("want"))
+    r = want.join(counted, "node").agg(F.sum("want").alias("w"), F.sum(F.least("want", "n")).alias("h")).first()
     return 1.0 if not r.w else r.h / r.w
 
 
@@ -293,19 +390,6 @@ def _started(nodes: DataFrame, n: int, k: int, seed: int) -> DataFrame:
     return _lists(dealt.mapInArrow(lambda it: _start(it, k), _PAIR).withColumn("fresh", F.lit(True)), k)
 
 
-def near_graph(spark: SparkSession, nodes: DataFrame, scratch: Scratch, least: float, k: int) -> tuple[DataFrame, DataFrame]:
-    """The refined graph, and its links (a, b), a < b, after as many starts as the audit asks for."""
-    n = nodes.count()
-    graph = descend(nodes, scratch, scratch.table(_started(nodes, n, k, 1), "start"), k, ROUNDS)
-    for seed in range(2, EXTRA + 3):
-        links = scratch.table(_exact(graph, nodes, least), "links")
-        if seed == EXTRA + 2 or audit(spark, nodes, links, least, k) >= RECALL:
-            break
-        again = graph.select("a", "b", "s", F.lit(False).alias("fresh")).unionAll(_started(nodes, n, k, seed))
-        graph = descend(nodes, scratch, scratch.table(_lists(again, k), "again"), k, ROUNDS)
-    return graph, links
-
-
 def near_duplicates(spark: SparkSession, vectors: DataFrame, least: float = THRESHOLD, k: int = NEIGHBOURS) -> DataFrame:
     """One row per row of ``vectors`` (vec_id, embedding): vec_id, n_links, component_id, kept.
 
@@ -313,42 +397,34 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, least: float = THRE
     non-finite components, link with nothing; neither do vectors of different lengths. n_links:
     other rows linked directly, exact copies included; component_id: smallest vec_id reached;
     kept: it is the own one. Rows that repeat a vec_id are copies of their own. A null vec_id has
-    its component's id. An empty table gives no row.
+    its component's id. Other columns are not read. An empty table gives no row.
+
+    Links within a dense group, and between two of them, are complete. Others come from the
+    refined graph, whose recall is measured on a sample; under RECALL after STARTS starts, all
+    vectors are compared.
     """
     scratch = Scratch(spark, "vectors")
     slim = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     each = scratch.table(slim.mapInArrow(_normal, "vec_id long, unit binary"), "units")
     # One node for each different vector; its copies are its weight.
     nodes = each.where("unit is not null").groupBy("unit").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"))
-    nodes = scratch.table(nodes.select(F.coalesce("least", F.xxhash64("unit")).alias("node"), "least", "weight", "unit").mapInArrow(_single, "node long, least long, weight long, unit binary, v binary"), "nodes")
-    graph, links = near_graph(spark, nodes, scratch, least, k)
-    # A list with nothing but links is saturated: it grows to all of its component. Lists of a
-    # dense group can close in parts, so some of each part are compared anew until none join.
-    full = graph.groupBy("a").agg(F.min("s").alias("s"), F.count("*").alias("n")).where((F.col("n") >= k) & (F.col("s") >= least - ROUNDING)).select(F.col("a").alias("node"))
-    full = scratch.table(full, "full")
-    for again in range(EXTRA + 1):
-        tied = scratch.table(components(links, scratch), "tied")
-        roots = nodes.join(tied, "node", "left").select("node", "least", "weight", "unit", "v", F.coalesce("root", "node").alias("g"))
-        groups = scratch.table(roots.join(full, "node", "left_semi").select("g").distinct(), "saturated")
-        if again == EXTRA or groups.limit(2).count() < 2:
-            break
-        place = F.row_number().over(Window.partitionBy("g").orderBy(F.xxhash64("node"), "node"))
-        some = roots.join(small(groups), "g", "left_semi").withColumn("place", place).where(F.col("place") <= PARTS)
-        some = scratch.table(some.select("node", "g", "unit", "v"), "parts")
-        # Lists must reach past the own part.
-        _, met = near_graph(spark, some, scratch, least, 2 * PARTS)
-        of = some.select("node", "g")
-        across = met.join(of.toDF("a", "ga"), "a").join(of.toDF("b", "gb"), "b").where("ga <> gb").select("a", "b")
-        across = scratch.table(across, "across")
-        if across.isEmpty():
+    nodes = scratch.table(nodes.select(F.xxhash64("unit").alias("node"), "least", "weight", "unit").mapInArrow(_single, "node long, least long, weight long, unit binary, v binary"), "nodes")
+    n = nodes.count()
+    graph = None
+    for start in range(1, STARTS + 1):
+        begun = _started(nodes, n, k, start)
+        if graph is not None:
+            begun = _lists(graph.select("a", "b", "s", F.lit(False).alias("fresh")).unionAll(begun), k)
+        graph = descend(nodes, scratch, scratch.table(begun, "start"), k, ROUNDS)
+        counted = _grown(graph, nodes, scratch, least, k)
+        recall = audit(spark, nodes, counted, least)
+        if recall >= RECALL:
             break
-        links = links.unionAll(across)
-    grown = _linked_in(roots.join(small(groups), "g", "left_semi").select("g", "node", "unit", "weight"), least)
-    ends = links.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p")).select("p.a", "p.b")
-    counted = ends.join(nodes.select(F.col("node").alias("b"), "weight"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("m"))
-    least_of = roots.groupBy("g").agg(F.min("least").alias("component_id"))
-    per = roots.select("node", "unit", "weight", "g").join(least_of, "g").join(grown, "node", "left").join(counted, "node", "left")
-    per = scratch.table(per.select(F.col("unit").alias("u"), (F.coalesce("n", "m", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id"), "result")
-    out = each.join(per, each.unit == per.u, "left")
+    else:
+        counted = _compared(nodes, scratch, least)
+    x = nodes.select("node", "least", "weight", "unit").join(counted, "node")
+    least_of = x.groupBy("root").agg(F.min("least").alias("component_id"))
+    per = x.join(least_of, "root").select(F.col("unit").alias("u"), (F.col("n") + F.col("weight") - 1).alias("n_links"), "component_id")
+    out = each.join(scratch.table(per, "result"), F.col("unit") == F.col("u"), "left")
     comp = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), comp.alias("component_id"), (F.col("vec_id") == comp).alias("kept"))
