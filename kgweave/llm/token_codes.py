@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, small
+from .common import KEPT, Scratch, small
 
 MAGIC, CHUNK = b"DAC1", 8
 #: Bits of bitmap between two entries of a rank directory.
@@ -34,7 +34,9 @@ ENCODE_CHARS = 1 << 20
 KNOWN_WORDS = 1 << 19
 END_ID = 0
 
+_DOUBLE = re.compile(r"\s\s")
 _ENCODERS: dict = {}
+KEPT.append(_ENCODERS)
 _MARKS = ".,;:!?"
 
 
@@ -131,8 +133,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.apart = re.compile("|".join([r"\s\s", *map(re.escape, added)]))
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.feed = self.whole(["\n"])[0]
         (self.feed_id,) = np.frombuffer(self.feed, np.uint32)
         #: Ids of words as they are, and of words after a space.
@@ -174,9 +175,12 @@ class Encoder:
         ids = dict(zip(tails, self.whole(tails), strict=True))
         known.update((w, known[c] + ids[w[len(c) :]]) for w, c in cut.items())
 
+    def _apart(self, text: str) -> bool:
+        return _DOUBLE.search(text) is not None or any(t in text for t in self.added)
+
     def ids(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """Ids of each text; new words of all of them are encoded together."""
-        split = [None if not t or self.apart.search(t) else [x.split(" ") for x in t.split("\n")] for t in texts]
+        split = [None if not t or self._apart(t) else [x.split(" ") for x in t.split("\n")] for t in texts]
         bare, spaced = set(), set()
         for lines in split:
             for first, *rest in lines or ():
