@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 from kgweave.plans.scratch import Scratch, small  # noqa: F401  the operators take them from here
 
 
+#: What operators keep in a Python worker from task to task.
+KEPT: list[dict] = []
+
+
+def release() -> None:
+    """Forget what other operators keep in this worker; called where a stage without need of it begins."""
+    for cache in KEPT:
+        cache.clear()
+
+
 def packed(docs: DataFrame) -> DataFrame:
     """``docs`` with all columns also packed in the struct ``_row``, under names that can't clash."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))

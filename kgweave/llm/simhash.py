@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, packed, small, unpacked
+from .common import Scratch, packed, release, small, unpacked
 from .components import components
 
 BITS, SEED = 64, 42
@@ -277,6 +277,7 @@ def _node(shingle: np.ndarray) -> int:
 
 def _banded(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     """doc_id, node (a hash of the shingle set), number of shingles, bands."""
+    release()
     for batch in batches:
         nodes, sizes, keys = [], [], np.empty((batch.num_rows, BANDS), np.int64)
         for k, text in enumerate(batch.column("text")):
