@@ -129,7 +129,8 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, fit_docs: int =
     """A network from ``labels`` (doc_id, quality) of rows that are not held out.
 
     At most ``fit_docs`` documents of each class, by a hash of doc_id, are read to the driver, by a
-    broadcast of those ids; it trains in numpy for some CPU seconds, whatever the tables' size.
+    broadcast of those ids; it trains in numpy for some CPU seconds, whatever the tables' size. Of
+    rows that repeat a doc_id, one text is read, the least.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where(F.col("y").isin(0, 1) & ~held_out(F.col("doc_id")))
     totals = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -137,7 +138,8 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, fit_docs: int =
     for c in (0, 1):
         chosen = known.where(F.col("y") == c).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_docs)
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id", "left_semi")
-        texts.append([r.text for r in sorted(rows.collect(), key=lambda r: (r.doc_id, r.text or ""))])
+        rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"))
+        texts.append([r.text for r in sorted(rows.collect(), key=lambda r: r.doc_id)])
     return train(tuple(texts), (totals.get(0, 0), totals.get(1, 0)))
 
 
@@ -152,7 +154,8 @@ def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFram
 
     Whole texts are scored in place, without a shuffle. Null and empty texts are one window of
     zero bytes. Without labels of both classes all scores are the smoothed share of label 1.
-    held_out of a null id is null. Repeated rows give repeated results.
+    held_out of a null id is null. Repeated rows give repeated results; an empty table gives none.
+    Other columns of ``docs`` are not read.
     """
     shared = spark.sparkContext.broadcast(fit(spark, docs, labels))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -1,6 +1,7 @@
 import random
 import zlib
 
+import numpy as np
 from helpers import ODD, documents
 
 from kgweave.llm import quality_cnn, toxicity
@@ -59,6 +60,70 @@ def test_toxicity(spark):
     assert kept.count() == sum(r.predicted == 0 for r in got if r.doc_id is not None and r.doc_id >= 1000)
 
 
+def test_probabilities_are_those_of_plain_counts():
+    """Both models sum to 1 after every word, and equal the definition, taken from the counts anew."""
+    rng = random.Random(2)
+    vocab = ["vile", "gross", "good", "fine", "thing", "thinly", "a", "b"]
+    texts = tuple([[rng.choice(vocab[i : i + 6]).encode() for _ in range(rng.randint(1, 12))] for _ in range(30)] for i in (0, 2))
+    m = toxicity.Model(texts)
+    size = m.n_words + len(m.stems) + 1
+    stems = sorted({w.encode()[: toxicity.STEM] for w in vocab if any(w.encode() in d for docs in texts for d in docs)})
+    assert list(m.stems) == stems
+    for c in (0, 1):
+        bigrams, firsts = {}, {}
+        seen = set()
+        for d in texts[c]:
+            ids = m.ids(d)
+            for i in range(len(ids) - 1):
+                seen.add((int(ids[max(i - 1, 0)]), int(ids[i]), int(ids[i + 1])))
+        for _, u, w in seen:
+            bigrams[u, w] = bigrams.get((u, w), 0) + 1
+            firsts[u] = firsts.get(u, 0) + 1
+        for u in range(size):
+            total = 0.0
+            for w in range(size):
+                at = int(np.searchsorted(m.keys, u << 21 | w))
+                held = at < len(m.keys) and m.keys[at] == u << 21 | w
+                above = m.above[c][at] if held else 0.0
+                n = bigrams.get((u, w), 0)
+                want = max(n - toxicity.DISCOUNTS[2] * n**0.5, 0) / firsts[u] if held and n else 0.0
+                assert abs(above - want) < 1e-12
+                total += above + m.backoff[c][u] * m.single[c][w]
+            assert abs(total - 1) < 1e-9
+
+
+def test_short_and_wholly_toxic_texts(spark):
+    rows, toxic, _ = corpus(500)
+    labels = spark.createDataFrame(toxic, "doc_id long, toxic int")
+    more = [(1, "vilezz grossqq vilezz"), (2, "vilezz"), (3, "grossqq vilezz " * 40), (4, rows[0][1].replace("vilezz", "").replace("grossqq", "")), (5, "")]
+    got = {r.doc_id: r.predicted for r in toxicity.toxicity(spark, documents(spark, rows + more), labels).collect()}
+    assert [got[i] for i in (1, 2, 3, 4, 5)] == [1, 1, 1, 0, 0]
+
+
+def test_gradients_of_the_network():
+    net = quality_cnn.Network(np.random.default_rng(3))
+    raw, rng = quality_cnn._bytes("abc some text, not too long. " * 9), np.random.default_rng(4)
+
+    def loss():
+        z = net.logit(raw)
+        return 0.7 * (np.log1p(np.exp(z)) - 1.0 * z)
+
+    g = {k: np.zeros_like(v) for k, v in net.p.items()}
+    net.gradients(raw, 1.0, 0.7, g)
+    for k, v in net.p.items():
+        for _ in range(6):
+            at = tuple(rng.integers(0, n) for n in v.shape)
+            if k == "embed":
+                at = (ord("abc some"[rng.integers(0, 8)]), at[1])
+            old = v[at]
+            v[at] = old + 1e-3
+            up = loss()
+            v[at] = old - 1e-3
+            down = loss()
+            v[at] = old
+            assert abs((up - down) / 2e-3 - g[k][at]) < 2e-3 + 0.05 * abs(g[k][at]), k
+
+
 def test_no_labels_give_the_prior(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int, quality int")
     d = documents(spark, ODD)
@@ -77,8 +142,6 @@ def test_quality(spark):
 
 
 def test_pooling_is_the_same_in_blocks(monkeypatch):
-    import numpy as np
-
     net = quality_cnn.Network(np.random.default_rng(0))
     raw = quality_cnn._bytes("some longer text " * 200)
     whole = net.pooled(raw)[0]
