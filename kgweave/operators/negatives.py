@@ -112,7 +112,7 @@ def sampled_candidates(queries: DataFrame, pool: DataFrame, known: DataFrame, n:
 def corrupt_states(states: DataFrame, pool: DataFrame, mode: str, k: int, seed: int = 37) -> DataFrame:
     """(sid, side, atoms): k negatives of each state (sid long, atoms: array of (p, a, b)), which
     replace an argument of its first atom; the other atoms stay."""
-    first = states.select(F.col("sid").alias("qid"), F.col("atoms")[0]["p"].alias("pred"), F.col("atoms")[0]["a"].alias("h"), F.col("atoms")[0]["b"].alias("t"))
+    first = states.select(F.col("sid").alias("qid"), F.get("atoms", F.lit(0))["p"].alias("pred"), F.get("atoms", F.lit(0))["a"].alias("h"), F.get("atoms", F.lit(0))["b"].alias("t"))
     x = corrupt(first, pool, mode, k, seed).join(states, F.col("qid") == F.col("sid"))
     rest = F.slice("atoms", 2, F.greatest(F.size("atoms") - 1, F.lit(0)))
     new = F.array(F.struct(F.col("pred").alias("p"), F.col("h").alias("a"), F.col("t").alias("b")))

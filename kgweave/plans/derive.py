@@ -22,7 +22,7 @@ def terminal(name: str) -> Column:
 
 def kind(atoms: Column) -> Column:
     """empty, true, false, end or open."""
-    first = atoms[0]["p"]
+    first = F.get(atoms, F.lit(0))["p"]
     alone = F.size(atoms) == 1
     true = F.forall(atoms, lambda x: x["p"] == "True")
     return F.when(F.size(atoms) == 0, "empty").when(true, "true").when(F.exists(atoms, lambda x: x["p"] == "False"), "false").when(alone & (first == "Endf"), "end").otherwise("open")
@@ -162,7 +162,7 @@ def ground_depths(spark: SparkSession, goals: DataFrame, facts: DataFrame, rules
     todo = scratch.table(start(goals).withColumn("rest", F.slice("atoms", 2, 1)), "goals")
     proved, seen = None, None
     for depth in range(1, max_depth + 1):
-        goal = todo.select(F.concat_ws("#", "qid", F.md5(F.to_json("atoms"))).alias("sid"), *KEY, F.col("atoms")[0].alias("g"), "rest")
+        goal = todo.select(F.concat_ws("#", "qid", F.md5(F.to_json("atoms"))).alias("sid"), *KEY, F.get("atoms", F.lit(0)).alias("g"), "rest")
         goal = scratch.table(goal, "expand")
         found = None
         heads: dict[str, int] = {}

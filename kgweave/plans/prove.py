@@ -14,6 +14,8 @@ from .rules import Rule, is_variable
 from .scratch import Scratch, small
 
 MAX_ATOMS, MAX_DEPTH = 20, 20
+#: Keys that a relation's facts are dealt over where goals bind neither argument.
+SALT = 16
 
 
 def _free(c: Column) -> Column:
@@ -51,10 +53,13 @@ def _fact_children(frontier: DataFrame, facts: DataFrame, ground: bool = False,
     f = facts.select(F.col("pred").alias("fp"), F.col("h").alias("fh"), F.col("t").alias("ft"))
     rest = F.slice("atoms", 2, F.greatest(F.size("atoms") - 1, F.lit(0)))
     own = (F.col("fp") == F.col("qp")) & (F.col("fh") == F.col("qa")) & (F.col("ft") == F.col("qb"))
-    g = frontier.withColumns({"gp": F.col("atoms")[0]["p"], "ga": F.col("atoms")[0]["a"], "gb": F.col("atoms")[0]["b"]})
+    g = frontier.withColumns({"gp": F.get("atoms", F.lit(0))["p"], "ga": F.get("atoms", F.lit(0))["a"], "gb": F.get("atoms", F.lit(0))["b"]})
     tail = g.where(~_free(F.col("ga")) & _free(F.col("gb"))).join(f, (F.col("gp") == F.col("fp")) & (F.col("ga") == F.col("fh")))
     head = g.where(_free(F.col("ga")) & ~_free(F.col("gb"))).join(f, (F.col("gp") == F.col("fp")) & (F.col("gb") == F.col("ft")))
-    both = g.where(_free(F.col("ga")) & _free(F.col("gb"))).join(f, (F.col("gp") == F.col("fp")) & ((F.col("ga") != F.col("gb")) | (F.col("fh") == F.col("ft"))))
+    # These meet a whole relation, so its facts are dealt over SALT keys, and the goals go to each.
+    salted = g.where(_free(F.col("ga")) & _free(F.col("gb"))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    dealt = f.withColumn("fs", F.pmod(F.xxhash64("fh", "ft"), F.lit(SALT)).cast("int"))
+    both = salted.join(dealt, (F.col("gp") == F.col("fp")) & (F.col("salt") == F.col("fs")) & ((F.col("ga") != F.col("gb")) | (F.col("fh") == F.col("ft")))).drop("salt", "fs")
     out = tail.unionByName(head).unionByName(both)
     if ground:
         out = out.unionByName(g.where(~_free(F.col("ga")) & ~_free(F.col("gb"))).join(f, (F.col("gp") == F.col("fp")) & (F.col("ga") == F.col("fh")) & (F.col("gb") == F.col("ft"))))
@@ -67,7 +72,7 @@ def _rule_children(frontier: DataFrame, rules: list[Rule], behind: bool = False)
     """Children by rules: body, then the remaining atoms (``behind``: the other way round), under
     the most general unifier; kind 1, via the rule's place."""
     out = None
-    g = frontier.withColumns({"gp": F.col("atoms")[0]["p"], "ga": F.col("atoms")[0]["a"], "gb": F.col("atoms")[0]["b"]})
+    g = frontier.withColumns({"gp": F.get("atoms", F.lit(0))["p"], "ga": F.get("atoms", F.lit(0))["a"], "gb": F.get("atoms", F.lit(0))["b"]})
     for i, r in enumerate(rules):
         x = g.where(F.col("gp") == r.head.p)
         bind: dict[str, Column] = {}
@@ -151,21 +156,21 @@ class Search:
             f = self.facts.select(F.col("pred").alias("qp"), F.col("h").alias("qa"), F.col("t").alias("qb"))
             known = states.join(f, ["qp", "qa", "qb"], "left_semi").select("qid", F.lit(0).alias("depth"))
         self.proved = self.scratch.table(known, "proved")
-        self.left = self.scratch.table(states.join(self.proved, "qid", "left_anti"), "frontier")
+        self.left = self.scratch.table(states.join(self.proved, "qid", "left_anti").withColumn("key", _state_key()), "frontier")
         self.factors = None
         # States met before, as 128-bit keys: what is read again each round does not grow with the atoms.
-        seen = self.left.select(_state_key().alias("key"))
+        seen = self.left.select("key")
         for depth in range(1, self.max_depth + 1):
             children = self.scratch.table(self._children(self.left), "children")
             made = children.groupBy("qid").agg(F.count("*").alias("bf")).select("qid", F.lit(depth).alias("depth"), "bf")
             self.factors = made if self.factors is None else self.factors.unionAll(made)
             done = children.where(F.size("atoms") == 0).select("qid", F.lit(depth).alias("depth"))
             self.proved = self.proved.unionAll(done)
-            fresh = children.where(F.size("atoms").between(1, self.max_atoms)).join(done, "qid", "left_anti").withColumn("key", _state_key()).join(seen, "key", "left_anti").drop("key")
+            fresh = children.where(F.size("atoms").between(1, self.max_atoms)).join(done, "qid", "left_anti").withColumn("key", _state_key()).join(seen, "key", "left_anti")
             self.left = self.scratch.table(fresh, "frontier")
             if self.left.isEmpty():
                 break
-            seen = self.scratch.table(seen.unionAll(self.left.select(_state_key().alias("key"))), "seen")
+            seen = seen.unionAll(self.left.select("key"))
 
     def depths(self, goals: DataFrame) -> DataFrame:
         best = self.proved.groupBy("qid").agg(F.min("depth").alias("depth"))
