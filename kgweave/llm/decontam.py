@@ -146,7 +146,8 @@ def leak_digest(leaks: DataFrame) -> DataFrame:
 def drop_leaked(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows of ``docs`` without a hit word, with their columns; scanned in place, no join.
 
-    Only texts go to Python, and one truth value a row comes back.
+    Only texts go to Python, and one truth value a row comes back. Null and empty texts stay; repeated
+    rows stay or go together; an empty table stays empty. Columns of any name pass as they are.
     """
     for block in _blocks(benchmark, AUTOMATON_WORDS):
         docs = docs.where(_clean(spark.sparkContext.broadcast(block))(F.col("text").cast("string")))
