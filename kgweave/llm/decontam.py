@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import release
+
 WINDOW = 10
 #: Words of benchmark text in one automaton (about 60 bytes a state, ``window`` states a word).
 #: A larger benchmark is cut into blocks of items, and documents pass one automaton after another.
@@ -157,6 +159,7 @@ def drop_leaked(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> D
 def _clean(shared):
     @F.arrow_udf("boolean")
     def clean(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        release()
         machine = Automaton(shared.value, WINDOW)
         for some in texts:
             yield pa.array([not machine.find(words_of(t.as_py())) for t in some], pa.bool_())

@@ -290,6 +290,7 @@ def _banded(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatc
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    release()
     for batch in batches:
         for i in range(0, batch.num_rows, 512):
             sets = [shingles(t.as_py(), n) for t in batch.column("text").slice(i, 512)]
@@ -297,6 +298,7 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]
 
 
 def _verified(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    release()
     for batch in batches:
         ends = zip(batch.column("x"), batch.column("y"), strict=True)
         near = pa.array([jaccard(*(np.frombuffer(e.as_buffer(), np.uint64) for e in xy)) >= least for xy in ends], pa.bool_())
