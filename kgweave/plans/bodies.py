@@ -65,6 +65,10 @@ def bindings(rule: Rule, facts: DataFrame, goals: DataFrame | None = None, limit
         body.remove(atom)
         rows = bind_atom(rows, atom, facts, bound)
         bound |= {x for x in (atom.a, atom.b) if is_variable(x)}
+        # What can be checked now only takes rows away, so it goes before anything is shuffled.
+        for ready in [a for a in body if all(not is_variable(x) or x in bound for x in (a.a, a.b))]:
+            body.remove(ready)
+            rows = bind_atom(rows, ready, facts, bound)
         if goals is None:
             needed = {x for a in (*body, rule.head) for x in (a.a, a.b)} & bound
             if needed != bound:

@@ -181,7 +181,7 @@ def finished(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     f"{RUNS}, g AS (SELECT label, depth, pred, count(*) AS n, avg(reward) AS rm, stddev_pop(reward) AS rs, avg(CAST(success AS INTEGER)) AS sm, stddev_pop(CAST(success AS INTEGER)) AS ss FROM v GROUP BY GROUPING SETS ((label), (label, depth), (label, depth, pred))) "
-    "SELECT label, depth, pred, n, round(rm, 4) AS reward, round(rs, 4) AS reward_std, printf('%.3f +/- %.2f (%d)', sm, ss, n) AS success FROM g"
+    "SELECT label, depth, pred, n, round(rm, 4) AS reward, round(rs, 4) AS reward_std, printf('%.3f +/- %.2f (%d)', round(sm, 3), round(ss, 2), n) AS success FROM g"
 )
 def episode_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every episode is reported twice here, and counts once."""
