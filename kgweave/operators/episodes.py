@@ -14,8 +14,9 @@ def gae(steps: DataFrame, gamma: float = 0.99, lam: float = 0.95) -> DataFrame:
     """(env, t, advantage, ret): generalised advantages of each env's steps in order of t.
 
     The value after an env's last step is 0, and a done step cuts what comes after it. Between such
-    cuts, advantages are discounted sums of what follows: running sums within blocks of steps, whose
-    discounts stay in range, plus what the blocks after carry, one row a block.
+    cuts, advantages are discounted sums of what follows, null deltas left out: each step's delta and
+    the discounted sum after it, from the last step of a block back, plus what the blocks after
+    carry, one row a block. Nothing is scaled up again, so sums keep the last digits of a loop's.
     """
     env = Window.partitionBy("env").orderBy("t")
     nxt, g = F.lead("value", 1, 0.0).over(env), gamma * lam
@@ -24,18 +25,30 @@ def gae(steps: DataFrame, gamma: float = 0.99, lam: float = 0.95) -> DataFrame:
     x = x.withColumn("run", F.sum("done").over(env) - F.col("done"))
     x = x.withColumn("at", F.row_number().over(Window.partitionBy("env", "run").orderBy("t")) - 1)
     x = x.withColumns({"block": F.floor(F.col("at") / BLOCK).cast("int"), "p": F.col("at") % BLOCK})
-    key = ["env", "run", "block"]
-    x = x.withColumn("s", F.sum(F.col("delta") * F.pow(F.lit(g), "p")).over(Window.partitionBy(*key).orderBy(F.desc("p"))) / F.pow(F.lit(g), "p"))
-    blocks = x.groupBy(*key).agg(F.max_by("s", -F.col("p")).alias("s"), F.count("*").alias("n"))
-    start = F.struct(F.lit(0.0).alias("acc"), F.array().cast("array<struct<block:int,carry:double,n:long>>").alias("out"))
+    t = steps.schema["t"].dataType.simpleString()
+    start = F.struct(F.lit(None).cast("double").alias("acc"), F.array().cast(f"array<struct<p:int,t:{t},value:double,s:double>>").alias("out"))
+
+    def plus(delta: Column, later: Column) -> Column:
+        return F.coalesce(delta + later, delta, later)
+
+    def back(a, r):
+        s = plus(r["delta"], g * a["acc"])
+        one = F.struct(r["p"].alias("p"), r["t"].alias("t"), r["value"].alias("value"), s.alias("s"))
+        return F.struct(s.alias("acc"), F.concat(a["out"], F.array(one)).alias("out"))
+
+    rows = F.collect_list(F.struct(F.col("p").cast("int").alias("p"), "t", F.col("value").cast("double").alias("value"), "delta"))
+    blocks = x.groupBy("env", "run", "block").agg(F.count("*").alias("n"), F.aggregate(F.reverse(F.array_sort(rows)), start, back).alias("f"))
+    blocks = blocks.select("env", "run", "block", "n", F.col("f.acc").alias("s"), F.col("f.out").alias("rows"))
+    first = F.struct(F.lit(None).cast("double").alias("acc"), F.array().cast("array<struct<block:int,carry:double>>").alias("out"))
 
     def fold(a, r):
-        one = F.struct(r["block"].alias("block"), a["acc"].alias("carry"), r["n"].alias("n"))
-        return F.struct((r["s"] + F.pow(F.lit(g), r["n"]) * a["acc"]).alias("acc"), F.concat(a["out"], F.array(one)).alias("out"))
+        one = F.struct(r["block"].alias("block"), a["acc"].alias("carry"))
+        return F.struct(plus(r["s"], F.pow(F.lit(g), r["n"]) * a["acc"]).alias("acc"), F.concat(a["out"], F.array(one)).alias("out"))
 
-    after = blocks.groupBy("env", "run").agg(F.aggregate(F.reverse(F.array_sort(F.collect_list(F.struct("block", "s", "n")))), start, fold).alias("f"))
-    carry = after.select("env", "run", F.explode("f.out").alias("c")).select("env", "run", "c.block", "c.carry", "c.n")
-    y = x.join(carry, key).withColumn("advantage", F.col("s") + F.pow(F.lit(g), F.col("n") - F.col("p")) * F.col("carry"))
+    after = blocks.groupBy("env", "run").agg(F.aggregate(F.reverse(F.array_sort(F.collect_list(F.struct("block", "s", "n")))), first, fold).alias("f"))
+    carry = after.select("env", "run", F.explode("f.out").alias("c")).select("env", "run", "c.block", "c.carry")
+    y = blocks.join(carry, ["env", "run", "block"]).select("env", "n", "carry", F.explode("rows").alias("r"))
+    y = y.select("env", F.col("r.t").alias("t"), F.col("r.value").alias("value"), plus(F.col("r.s"), F.pow(F.lit(g), F.col("n") - F.col("r.p")) * F.col("carry")).alias("advantage"))
     return y.select("env", "t", "advantage", (F.col("advantage") + F.col("value")).alias("ret"))
 
 

@@ -27,7 +27,7 @@ def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     "g AS (SELECT a.env, a.t, any_value(a.value) AS value, sum(b.delta * pow(0.99 * 0.95, b.t - a.t)) AS adv FROM d a JOIN d b ON a.env = b.env AND b.t >= a.t GROUP BY a.env, a.t) SELECT env, t, round(adv, 4) AS advantage, round(adv + value, 4) AS ret FROM g"
 )
 def gae_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.gae(steps(spark, sf_dir)).select("env", "t", F.round("advantage", 4).alias("advantage"), F.round("ret", 4).alias("ret"))
+    return E.gae(steps(spark, sf_dir)).select("env", "t", S.rounded(F.col("advantage"), 4).alias("advantage"), S.rounded(F.col("ret"), 4).alias("ret"))
 
 
 @register(

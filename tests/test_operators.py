@@ -77,3 +77,18 @@ def test_neural_scorers_against_loops(spark):
     two = spark.createDataFrame([(1, 0.5, 2.0), (2, -1.0, 0.0)], "id int, proof double, kge double")
     got = {r.id: r.score for r in neural.mlp_bridge(two, np.eye(2), np.array([0.0, 1.0]), np.array([2.0, 3.0]), ["id"]).collect()}
     assert got == {1: 10.0, 2: 3.0}
+
+
+def test_rounding_of_halves_is_that_of_sql(spark):
+    """Sums of gae_returns that fall on a half, as two orders of summation give them; and odd values."""
+    import math
+
+    from kgweave.functions import scores
+
+    duckdb = pytest.importorskip("duckdb")
+    values = [94.95515, 94.95514999999999, 62.908449999999995, 192.37845, 55.6948 - 5e-5, -4.00165, -4.001650000000001, 2.9983499999999994, 0.0, -0.00001, 1e300, -1e17, 0.49999999999999994e-4]
+    df = spark.createDataFrame([*((i, v) for i, v in enumerate(values)), (97, None), (98, math.nan), (99, -math.inf)], "i int, x double")
+    got = {r.i: r.x for r in df.select("i", scores.rounded(df.x, 4).alias("x")).collect()}
+    for i, v in enumerate(values):
+        assert got[i] == duckdb.execute("select round(cast(? as double), 4)", [v]).fetchone()[0], v
+    assert got[97] is None and math.isnan(got[98]) and got[99] == -math.inf
