@@ -20,8 +20,11 @@ def _term(arg: str) -> Column:
     return F.col(VAR + arg) if is_variable(arg) else F.lit(arg)
 
 
-def bind_atom(rows: DataFrame | None, atom: Atom, facts: DataFrame, bound: set[str]) -> DataFrame:
-    """``rows`` (with a column for each bound variable) joined with the facts that fit an atom."""
+def bind_atom(rows: DataFrame | None, atom: Atom, facts: DataFrame, bound: set[str], limit: int | None = None) -> DataFrame:
+    """``rows`` (with a column for each bound variable) joined with the facts that fit an atom.
+
+    limit: a row meets the first so many different facts only, in order of the new variables' names.
+    """
     f = facts.where(F.col("pred") == atom.p)
     if atom.a == atom.b:
         f = f.where("h = t")
@@ -37,6 +40,10 @@ def bind_atom(rows: DataFrame | None, atom: Atom, facts: DataFrame, bound: set[s
     columns = [F.col(side).alias(VAR + arg) for arg, side in new.items()]
     if rows is None:
         return f.select(*columns).distinct()
+    if limit is not None and new:
+        key = [side for side in ("_h", "_t") if side not in new.values()]
+        order = [new[x] for x in sorted(new)]
+        f = f.distinct().withColumn("_n", F.row_number().over(Window.partitionBy(*key or [F.lit(0)]).orderBy(*order))).where(F.col("_n") <= limit).drop("_n")
     condition = on[0] if on else F.lit(True)
     for c in on[1:]:
         condition = condition & c
@@ -49,7 +56,8 @@ def bindings(rule: Rule, facts: DataFrame, goals: DataFrame | None = None, limit
     goals: (qid, h, t), the head's arguments; without it all heads (h, t) are found. Each step
     joins the atom with the most bound arguments; variables that no later atom and not the head
     needs are dropped at once. With goals the result has all variables of the body, so each proof
-    is a row; ``limit`` keeps the first so many of a goal in order of its variables.
+    is a row; ``limit`` keeps the first so many of a goal in order of its variables. No row of the
+    last join needs more than the first ``limit`` facts of its key, so those are taken before it.
     """
     body, rows, bound = list(rule.body), None, set()
     if goals is not None:
@@ -63,7 +71,7 @@ def bindings(rule: Rule, facts: DataFrame, goals: DataFrame | None = None, limit
     while body:
         atom = _next(body, bound)
         body.remove(atom)
-        rows = bind_atom(rows, atom, facts, bound)
+        rows = bind_atom(rows, atom, facts, bound, limit if goals is not None and not body else None)
         bound |= {x for x in (atom.a, atom.b) if is_variable(x)}
         # What can be checked now only takes rows away, so it goes before anything is shuffled.
         for ready in [a for a in body if all(not is_variable(x) or x in bound for x in (a.a, a.b))]:

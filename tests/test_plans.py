@@ -3,6 +3,7 @@ import random
 import pytest
 from oracle import min_depth
 
+from kgweave.plans.bodies import bindings
 from kgweave.plans.closure import chain_closure, transitive_closure
 from kgweave.plans.prove import min_depths
 from kgweave.plans.rules import Atom, Rule, chains, symmetric_predicates
@@ -91,3 +92,23 @@ def test_exact_depths_and_statuses(spark):
     found, factors = statuses(spark, goals, facts, rules, max_depth=2)
     assert {r.qid: (r.status, r.depth) for r in found.collect()} == {"0": ("not_provable", -1), "1": ("provable", 2), "2": ("depth_limit_exceeded", -1), "3": ("not_provable", -1)}
     assert {(r.qid, r.depth): r.bf for r in factors.collect()}["1", 1] == 1
+
+
+def test_a_limit_is_taken_before_the_last_join(spark):
+    """The first bindings of a goal are those of all bindings, but no goal meets all facts of its key."""
+    rule = Rule(Atom("served", "C", "R"), (Atom("custIn", "C", "N"), Atom("suppIn", "S", "N"), Atom("inRegion", "N", "R")))
+    # A customer in two nations, one of them without supplier; suppliers by the hundred, one of them told twice.
+    rows = [("custIn", f"c:{i}", f"n:{i % 3}") for i in range(20)] + [("custIn", "c:0", "n:1"), ("custIn", "c:1", "n:3")] + [("inRegion", f"n:{i}", "r:0") for i in range(4)]
+    rows += [("suppIn", f"s:{i}", f"n:{i % 3}") for i in range(300)] + [("suppIn", "s:0", "n:0")]
+    facts = spark.createDataFrame(rows, "pred string, h string, t string")
+    goals = spark.createDataFrame([(f"q{i % 19}", f"c:{i}", f"r:{i % 2}") for i in range(20)], "qid string, h string, t string")
+    cut = bindings(rule, facts, goals, 6)
+    by: dict = {}
+    for r in bindings(rule, facts, goals).collect():
+        by.setdefault(r.qid, set()).add((r.v_C, r.v_N, r.v_R, r.v_S))
+    want = {(q, *x) for q, some in by.items() for x in sorted(some)[:6]}
+    assert len(want) == 6 * len(by) and {(r.qid, r.v_C, r.v_N, r.v_R, r.v_S) for r in cut.collect()} == want
+    plan = cut._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-!"))
+    top = next(i for i, line in enumerate(plan) if "Join Inner" in line)
+    assert any("Window" in line and depth(line) > depth(plan[top]) for line in plan[top + 1 :])
