@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.scratch import small
+
+#: Keys over which the facts of a frequent value are dealt.
+SALTS = 32
+
 
 def _edge(df: DataFrame, pred: str, h: str, hp: str, t: str, tp: str) -> DataFrame:
     return df.select(F.lit(pred).alias("pred"), F.concat(F.lit(hp), F.col(h).cast("string")).alias("h"), F.concat(F.lit(tp), F.col(t).cast("string")).alias("t"))
@@ -43,14 +48,26 @@ def vocabulary(facts: DataFrame) -> DataFrame:
 def bindings(goals: DataFrame, facts: DataFrame, pattern: str) -> DataFrame:
     """(qid, h, t) of facts that unify with goals (qid, pred, h, t), by pattern of bound arguments:
     bb, bf, fb, ff, or same for p(X, X). Each is an equi-join; a fact equal to the goal is left out
-    of bf and fb goals that carry ``own`` (struct h, t)."""
+    of bf and fb goals that carry ``own`` (struct h, t).
+
+    A key of few values, as the nation of fb goals is, would leave whole products to one task each. So
+    fb and ff facts are dealt over all tasks, and meet goals that go out by broadcast where they are
+    few; where they aren't, the facts of a key are dealt over SALTS keys, with the goals at each.
+    """
     f = facts.select(F.col("pred").alias("fp"), F.col("h").alias("fh"), F.col("t").alias("ft"))
     on = F.col("pred") == F.col("fp")
     if pattern in ("bb", "bf"):
         on = on & (F.col("h") == F.col("fh"))
     if pattern in ("bb", "fb"):
         on = on & (F.col("t") == F.col("ft"))
-    out = goals.join(f, on)
+    if pattern in ("fb", "ff"):
+        f, few = f.withColumn("_salt", F.pmod(F.xxhash64("fh", "ft"), F.lit(SALTS))), small(goals)
+        if few is goals:
+            out = goals.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).join(f, on & (F.col("_s") == F.col("_salt")))
+        else:
+            out = few.join(f.repartition(int(f.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fh", "ft"), on)
+    else:
+        out = goals.join(f, on)
     if pattern == "same":
         out = out.where("fh = ft")
     return out.select("qid", F.col("fh").alias("h"), F.col("ft").alias("t"))

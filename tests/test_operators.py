@@ -92,3 +92,22 @@ def test_rounding_of_halves_is_that_of_sql(spark):
     for i, v in enumerate(values):
         assert got[i] == duckdb.execute("select round(cast(? as double), 4)", [v]).fetchone()[0], v
     assert got[97] is None and math.isnan(got[98]) and got[99] == -math.inf
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_a_frequent_value_is_met_in_many_tasks(spark, monkeypatch, few):
+    """Free-bound goals of one value: all pairs, a fair share of them in each of many tasks."""
+    from kgweave.plans import scratch
+
+    if not few:
+        monkeypatch.setattr(scratch, "BROADCAST_ROWS", 10)
+    goals = spark.createDataFrame([(f"s:{i}", "custIn", "?", "n:0") for i in range(40)] + [("x", "custIn", "?", "n:9")], "qid string, pred string, h string, t string")
+    facts = spark.range(500).selectExpr("'custIn' AS pred", "concat('c:', id) AS h", "'n:0' AS t")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # it makes one task of tables as small as these
+    try:
+        got = graph.bindings(goals, facts, "fb")
+        rows = got.select("*", F.spark_partition_id().alias("task")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert {(r.qid, r.h, r.t) for r in rows} == {(f"s:{i}", f"c:{k}", "n:0") for i in range(40) for k in range(500)} and len(rows) == 20000
+    assert len({r.task for r in rows}) > 1 and max(sum(r.task == k for r in rows) for k in {r.task for r in rows}) < 12000
