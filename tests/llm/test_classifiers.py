@@ -147,3 +147,48 @@ def test_pooling_is_the_same_in_blocks(monkeypatch):
     whole = net.pooled(raw)[0]
     monkeypatch.setattr(quality_cnn, "BLOCK", quality_cnn.CHUNK * 2)
     assert np.allclose(whole, net.pooled(raw)[0], atol=1e-5)
+
+
+def test_models_count_every_text(spark):
+    """Ratios of the model that is fitted on executors, against plain counts of all texts of both classes."""
+    rows, toxic, _ = corpus(400)
+    label = dict(toxic)
+    docs = [[toxicity.words(t) for d, t in rows if label[d] == c and not fold(d)] for c in (0, 1)]
+    seen = [{(w[max(i - 1, 0)], w[i], w[i + 1]) for d in some for w in [[b"", *d]] for i in range(len(d))} for some in docs]
+    n = [{}, {}]
+    for c in (0, 1):
+        for _, u, w in seen[c]:
+            n[c][u, w] = n[c].get((u, w), 0) + 1
+    stem = lambda w: w[: toxicity.STEM]
+    every, scale = set(n[0]) | set(n[1]), [min(map(len, seen)) / len(s) for s in seen]
+    vocab = sorted({w for _, w in every})
+    stems = sorted(set(map(stem, vocab)))
+    less = lambda x, d: max(x - d * x**0.5, 0)
+    by_stem = {s: sum(stem(w) == s for _, w in every) for s in stems}
+    logs = []
+    for c in (0, 1):
+        ctx = dict.fromkeys(vocab, 0)
+        for _, w in n[c]:
+            ctx[w] += 1
+        size = len(n[c]) * scale[c]
+        s_kept = {s: less(sum(ctx[w] for w in vocab if stem(w) == s) * scale[c], toxicity.DISCOUNTS[0]) / size for s in stems}
+        w_kept = {w: less(ctx[w] * scale[c], toxicity.DISCOUNTS[1]) / size for w in vocab}
+        s_mass, w_mass, whole = 1 - sum(s_kept.values()), 1 - sum(w_kept.values()), sum(by_stem.values()) + len(stems) + 1
+        shared = {w: sum(x == w for _, x in every) for w in vocab}
+        single = {}
+        for w in vocab:
+            s = stem(w)
+            within = (shared[w] + 1) / (by_stem[s] + 1 + sum(stem(x) == s for x in vocab))
+            single[w] = w_kept[w] + w_mass * (s_kept[s] + s_mass * (by_stem[s] + 1) / whole) * within
+        firsts: dict = {}
+        for (u, _), k in n[c].items():
+            firsts[u] = firsts.get(u, 0) + k
+        above = {p: less(k * scale[c], toxicity.DISCOUNTS[2]) / (firsts[p[0]] * scale[c]) for p, k in n[c].items()}
+        left = dict.fromkeys(firsts, 1.0)
+        for (u, _), p in above.items():
+            left[u] -= p
+        logs.append(lambda u, w, above=above, left=left, single=single: np.log(above.get((u, w), 0) + left.get(u, 1.0) * single[w]))
+    scorer = toxicity.fit(spark, documents(spark, rows), spark.createDataFrame(toxic, "doc_id long, toxic int"))
+    for d in docs[0][:20] + docs[1][:20]:
+        want = np.mean([logs[1](u, w) - logs[0](u, w) for u, w in zip([b"", *d], d, strict=False)])
+        assert abs(scorer.model.ratios(d)[0] - want) < 1e-9
