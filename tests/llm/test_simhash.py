@@ -124,3 +124,17 @@ def test_links_at_the_bound_are_exact_for_short_and_long_texts(spark):
     assert 100 < sum(c == d for d, c in want.items()) - 200 + 100 < 200
     got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark, documents(spark, rows)).collect()}
     assert got == want
+
+
+def test_the_trie_join_gives_similar_groups_their_first_candidates(spark, monkeypatch):
+    """It runs once, within two bits, before any band; what it links is held to the exact similarity."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base = [word() for _ in range(2000)]
+    rows = [(1, " ".join(base)), (2, " ".join(base[:-1])), (3, " ".join(word() for _ in range(2000)))]
+    near, real = simhash.fingerprint(rows[0][1]) ^ simhash.fingerprint(rows[1][1]), simhash.links
+    assert near.bit_count() <= 2
+    calls = []
+    monkeypatch.setattr(simhash, "links", lambda points, scratch, budget: calls.append(budget) or real(points, scratch, budget))
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark, documents(spark, rows)).collect()}
+    assert got == {1: 1, 2: 1, 3: 3} and calls == [2]
