@@ -138,3 +138,36 @@ def test_the_trie_join_gives_similar_groups_their_first_candidates(spark, monkey
     monkeypatch.setattr(simhash, "links", lambda points, scratch, budget: calls.append(budget) or real(points, scratch, budget))
     got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark, documents(spark, rows)).collect()}
     assert got == {1: 1, 2: 1, 3: 3} and calls == [2]
+
+
+def test_large_groups_cost_pairs_in_proportion_and_lose_no_link(spark, monkeypatch):
+    """Edits of one original share bands in masses but many are not similar; some have copies of their own."""
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+
+    def edit(w, k):
+        w = list(w)
+        for _ in range(k):
+            w[rng.randrange(len(w))] = word()
+        return w
+
+    texts = []
+    for _ in range(2):
+        base = [word() for _ in range(150)]
+        edits = [edit(base, rng.randint(1, 14)) for _ in range(160)]
+        # Edits of edits, so that links lie between nodes far from the hub too.
+        texts += [base, *edits, *(edit(edits[k], rng.randint(1, 5)) for k in range(40))]
+    rng.shuffle(texts)
+    rows = list(enumerate(" ".join(w) for w in texts))
+    sets = [frozenset(zip(*(w[i:] for i in range(5)), strict=False)) for w in texts]
+    least = list(range(len(sets)))
+    linked = [(i, j) for i in least for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    for _ in range(20):
+        for i, j in linked:
+            least[i] = least[j] = min(least[i], least[j])
+    assert len(set(least)) > 30
+    pairs, real = [], simhash._similar
+    monkeypatch.setattr(simhash, "_similar", lambda some, *rest: pairs.append(some.count()) or real(some, *rest))
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark, documents(spark, rows)).collect()}
+    assert got == dict(enumerate(least))
+    assert sum(pairs) < 6 * len(rows), pairs
