@@ -13,7 +13,9 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +37,12 @@ KNOWN_WORDS = 1 << 19
 END_ID = 0
 
 _DOUBLE = re.compile(r"\s\s")
+#: Words of characters whose kind is beyond doubt, and how byte-level BPE cuts them, with a space before.
+_LETTERS, _SIGNS = "A-Za-zÀ-ÖØ-öø-ɏ", r"!-/:-@\[-`{-~"
+_SURE = re.compile(f"[{_LETTERS}0-9{_SIGNS}]+")
+_PIECES = re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{_LETTERS}]+| ?[0-9]+| ?[{_SIGNS}]+")
 _ENCODERS: dict = {}
 KEPT.append(_ENCODERS)
-_MARKS = ".,;:!?"
 
 
 def encode_levels(ids: np.ndarray) -> bytes:
@@ -117,15 +122,58 @@ def open_segment(blob: bytes) -> tuple[list[int | None], np.ndarray, Levels]:
     return [int(d) if k else None for d, k in zip(ids, known, strict=True)], np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), Levels(blob, 12 + 17 * n)
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter by which byte-level BPE names each byte: its own if it is visible, else one from 256 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(sorted({*range(256)}.difference(seen)))}
+
+
+class _Words(dict):
+    """Ids, as bytes, of words with ``space`` before them; a word's are found when it is first asked for.
+
+    A word of sure characters is cut into pieces here, and the library's model gets each of them; of
+    other words the library gets the whole. If there are too many, all are forgotten.
+    """
+
+    def __init__(self, tok, space: str):
+        self.tok, self.space, self.cut, self.names = tok, space, tok.model.tokenize, _byte_letters()
+        self.mark = self.names[32] if space else ""
+        self.tails: dict[str, bytes] = {"": b""}
+
+    def _ids(self, piece: str) -> bytes:
+        named = piece.encode().decode("latin-1").translate(self.names)
+        return array("I", [t.id for t in self.cut(named)]).tobytes()
+
+    def _letters(self, core: str) -> bytes:
+        # ASCII letters are named by themselves.
+        return array("I", [t.id for t in self.cut(self.mark + core)]).tobytes() if core.isascii() else self._ids(self.space + core)
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) + len(self.tails) >= KNOWN_WORDS:
+            self.clear()
+            self.tails = {"": b""}
+        core = word.rstrip(punctuation)
+        if core.isalpha() and (core.isascii() or max(core) <= "ɏ"):
+            tail = word[len(core) :]
+            if tail not in self.tails:
+                self.tails[tail] = self._ids(tail)
+            raw = (tail and self.get(core) or self._letters(core)) + self.tails[tail]
+        elif _SURE.fullmatch(word):
+            raw = b"".join(map(self._ids, _PIECES.findall(self.space + word)))
+        else:
+            raw = array("I", self.tok.encode(self.space + word, add_special_tokens=False).ids).tobytes()
+        self[word] = raw
+        return raw
+
+
 class Encoder:
     """The tokenizer at ``path``, as the library applies it: a special token's own text is that token.
 
     Byte-level BPE cuts a text into pieces before it merges, and a lone line feed, or a space
     between two other characters, always starts a piece. So the ids of a text without double white
-    space are those of its words, with the space before them, and of its line feeds; and those of
-    a word that ends in marks after a letter or digit are those of the word and of the marks.
-    Words' ids are kept as bytes; texts with double white space, or with the text of an added token
-    in them, are encoded whole.
+    space are those of its words, with the space before them, and of its line feeds. Words' ids are
+    kept as bytes; texts with double white space, or with the text of an added token in them, are
+    encoded whole.
     """
 
     def __init__(self, path: str):
@@ -135,10 +183,8 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.feed = self.whole(["\n"])[0]
-        (self.feed_id,) = np.frombuffer(self.feed, np.uint32)
         #: Ids of words as they are, and of words after a space.
-        self.bare: dict[str, bytes] = {"": b""}
-        self.spaced: dict[str, bytes] = {}
+        self.bare, self.spaced = _Words(self.tok, ""), _Words(self.tok, " ")
 
     def whole(self, texts: list[str]) -> list[bytes]:
         out = []
@@ -146,54 +192,20 @@ class Encoder:
             out += [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts[i : i + 4096], add_special_tokens=False)]
         return out
 
-    def _words(self, words: list[str], space: str) -> Iterator[bytes]:
-        """Ids of each of some words without white space, encoded as the lines of one text."""
-        for i in range(0, len(words), 8192):
-            some = words[i : i + 8192]
-            raw = self.whole(["\n".join(space + w for w in some)])[0]
-            ends = np.flatnonzero(np.frombuffer(raw, np.uint32) == self.feed_id) * 4
-            starts = [0, *(ends + 4)]
-            if len(starts) != len(some):
-                raise ValueError("a word's ids hold a line feed")
-            yield from (raw[a:z] for a, z in zip(starts, [*ends, len(raw)], strict=True))
-
-    def _learn(self, words: set[str], known: dict[str, bytes], space: str) -> None:
-        """Put ``words`` among the known ones, which are forgotten first if they are too many."""
-        new = words.difference(known)
-        if not new:
-            return
-        if len(known) + 2 * len(new) > KNOWN_WORDS:
-            known.clear()
-            new = words
-        cut = {w: c for w in new if w[-1:] in _MARKS and (c := w.rstrip(_MARKS)) and c[-1].isalnum()}
-        plain = {cut.get(w, w) for w in new}.difference(known)
-        odd = [w for w in plain if len(w.split()) != 1]
-        known.update(zip(odd, self.whole([space + w for w in odd]), strict=True))
-        plain = list(plain.difference(odd))
-        known.update(zip(plain, self._words(plain, space), strict=True))
-        tails = list({w[len(c) :] for w, c in cut.items()})
-        ids = dict(zip(tails, self.whole(tails), strict=True))
-        known.update((w, known[c] + ids[w[len(c) :]]) for w, c in cut.items())
-
     def _apart(self, text: str) -> bool:
         return _DOUBLE.search(text) is not None or any(t in text for t in self.added)
 
     def ids(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        """Ids of each text; new words of all of them are encoded together."""
-        split = [None if not t or self._apart(t) else [x.split(" ") for x in t.split("\n")] for t in texts]
-        bare, spaced = set(), set()
-        for lines in split:
-            for first, *rest in lines or ():
-                bare.add(first)
-                spaced.update(rest)
-        self._learn(bare, self.bare, "")
-        self._learn(spaced, self.spaced, " ")
+        """Ids of each text; those that are encoded whole go to the library together."""
+        apart = [bool(t) and self._apart(t) for t in texts]
+        whole = iter(self.whole([t for t, a in zip(texts, apart, strict=True) if a]))
         first, later = self.bare.__getitem__, self.spaced.__getitem__
-        for text, lines in zip(texts, split, strict=True):
-            if lines:
-                raw = self.feed.join([first(x[0]) + b"".join(map(later, x[1:])) for x in lines])
+        for text, a in zip(texts, apart, strict=True):
+            if a:
+                raw = next(whole)
             else:
-                raw = self.whole([text])[0] if text else b""
+                lines = [x.split(" ") for x in (text or "").split("\n")]
+                raw = self.feed.join([first(x[0]) + b"".join(map(later, x[1:])) for x in lines])
             yield np.frombuffer(raw, np.uint32)
 
 

@@ -48,6 +48,19 @@ def test_kept_words_give_the_library_s_ids(monkeypatch):
     token_codes._ENCODERS.clear()
 
 
+def test_new_words_reach_the_model_in_the_library_s_pieces(monkeypatch):
+    """The library's own cutting of texts, most of the cost of a new word, is left to words of other characters."""
+    rng = random.Random(4)
+    bits = ["a", "Word", "ñé", "ß", "ǅɏ", "7", "42", "'", "'s", "'re", "'ll", "'S", "'t", "'d", "'m", "'ve", "-", "_", ".,", '"', "(", "!?", "#*"]
+    words = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 6))) for _ in range(4000)] + ["don't", "dogs'", "'llama", "it's,", "x''re", "3rd"]
+    texts = [" ".join(words[i : i + 7]) + "\n" + words[i] for i in range(0, len(words), 7)]
+    want = [whole_ids(t) for t in texts]
+    encoder = token_codes.Encoder(tokenizer_path())
+    monkeypatch.setattr(encoder, "whole", lambda texts: [] if not texts else pytest.fail("encoded whole"))
+    monkeypatch.setattr(encoder, "tok", None)
+    assert [x.tolist() for x in encoder.ids(texts)] == want
+
+
 def test_special_tokens_in_texts():
     for text in ("a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>\ny", "<|endoftext", "a <|endoftext|>  b"):
         (ids,) = token_codes.encoded([text], tokenizer_path())
